@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from vecloom.llm import chat, html, quality, topk, urls
+from vecloom.llm import chat, html, lines, packing, quality, topk, urls
 
 QUERIES = {
+    "op1_line_dedup": lines.query,
     "op2_html_extraction": html.query,
+    "op3_packing": packing.query,
     "op4_chat_formatting": chat.query,
     "op6_quality_rules": quality.query,
     "op8_url_filters": urls.query,
@@ -13,6 +15,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_line_dedup": lines.ORACLE,
     "op8_url_filters": urls.ORACLE,
     "op10_exact_topk": topk.ORACLE,
 }
