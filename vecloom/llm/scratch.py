@@ -6,12 +6,15 @@ temporary one made.  Tables are Parquet, so that losing an executor never loses
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
-_written: list[str] = []
+#: Paths of the tables written since ``owned`` was last entered.
+_owned: list[str] | None = None
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,13 +35,24 @@ def save(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/vecloom/{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    _written.append(path)
+    if _owned is not None:
+        _owned.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete all tables that ``save`` wrote; call it once every result built on them is stored."""
+def delete(spark: SparkSession, paths: list[str]) -> None:
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    while _written:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_written.pop())
+    for name in paths:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(conf).delete(path, True)
+
+
+@contextlib.contextmanager
+def owned(paths: list[str]) -> Iterator[None]:
+    """Tables saved inside are added to ``paths``, so that the caller can delete them when they are used up."""
+    global _owned
+    before, _owned = _owned, paths
+    try:
+        yield
+    finally:
+        _owned = before
