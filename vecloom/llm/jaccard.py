@@ -1,11 +1,13 @@
 """N-gram Jaccard join by parity sketches.
 
-A document is the set of its distinct 3-word shingles, as 64-bit hashes.  Documents with equal sets form a class, and
+A document is the set of its distinct word shingles, as 64-bit hashes.  Documents with equal sets form a class, and
 only the class's smallest id goes on.  Let linked sets of sizes a <= b differ in d elements.  Jaccard >= t gives
-d <= (a + b)(1 - t) / (1 + t).  For a band of sizes this is at most D, so each member's elements are dealt to D + 1 words
-of 64 bits, where element x flips one bit.  Words that differ number at most d <= D (the Hamming distance of such
-parity sketches is a lower bound of the symmetric difference), so two linked sets agree in at least one word: the
-join is an equi-join on (band, word number, word).  A set near the lower end of its band is in the band below, too.
+d <= (a + b)(1 - t) / (1 + t).  For a band of sizes this is at most D.  Each element flips one bit of a sketch of
+D + 1 + S words (a word is 2**32 bits wide and is kept as the XOR of its set bits' codes).  The Hamming distance of two
+such parity sketches is at most d, so at most D words differ and at least S + 1 agree: the join is an equi-join on
+(band, word number, word).  Words with few elements agree by chance; a set with at most S of them leaves them out, and
+still one word of any linked pair is left, since equal words have equal counts.  A set near the lower end of its
+band is in the band below, too.
 
 Pairs that meet are linked to the smallest id of their bucket only, which keeps a bucket of m documents to m rows.  The
 components of these candidate links hold every linked pair, since documents of one bucket are in one component.  Each
@@ -46,29 +48,30 @@ def band_of(n: int) -> int:
     return int(math.floor(math.log(n) / math.log(RATIO) + 1e-9))
 
 
-def words_in(band: int, percent: int) -> int:
-    """D + 1 for pairs whose smaller set is in ``band``."""
+def words_in(band: int, percent: int) -> tuple[int, int]:
+    """(number of sketch words, how many of them may be too thin to join on) for pairs whose smaller set is in ``band``."""
     a = math.floor(RATIO ** (band + 1)) + 1
     b = a * 100 // percent + 1
-    return (a + b) * (100 - percent) // (100 + percent) + 1
-
-
-def sketch(items: np.ndarray, band: int, percent: int) -> np.ndarray:
-    k = np.uint64(words_in(band, percent))
-    h = mix(items ^ np.uint64(0xD6E8FEB86659FD93))
-    out = np.zeros(int(k), np.uint64)
-    np.bitwise_xor.at(out, ((h >> np.uint64(32)) * k >> np.uint64(32)).astype(np.int64), np.uint64(1) << (h & np.uint64(63)))
-    return out
+    differ = (a + b) * (100 - percent) // (100 + percent)
+    spare = (differ + 1) * 3 // 10
+    return differ + 1 + spare, spare
 
 
 def keys_of(items: np.ndarray, percent: int) -> np.ndarray:
-    """The join keys of a set: a hash of (band, word number, word) for each word of its one or two bands."""
+    """The join keys of a set: a hash of (band, word number, word) for each joinable word of its one or two bands."""
     n, out = len(items), []
-    band = band_of(n)
+    band, thin = band_of(n), 4 if percent >= 90 else 2
+    h = mix(items ^ np.uint64(0xD6E8FEB86659FD93))
+    code = mix(h)  # stands for the one bit of 2**32 that the element flips in its word
     for b in (band, band - 1):
         if b == band or b >= 0 and n * percent <= 100 * (math.floor(RATIO ** (b + 1)) + 1):
-            w = sketch(items, b, percent)
-            out.append(mix(w ^ mix(np.arange(len(w), dtype=np.uint64) + np.uint64((b + 1) << 32))))
+            total, spare = words_in(b, percent)
+            at = ((h >> np.uint64(32)) * np.uint64(total) >> np.uint64(32)).astype(np.int64)
+            word = np.zeros(total, np.uint64)
+            np.bitwise_xor.at(word, at, code)
+            count = np.bincount(at, minlength=total)
+            key = mix(word ^ mix(np.arange(total, dtype=np.uint64) + np.uint64((b + 1) << 32)))
+            out.append(key[count >= thin] if (count < thin).sum() <= spare else key)
     return np.concatenate(out)
 
 
