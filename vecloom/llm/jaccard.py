@@ -3,10 +3,12 @@
 A document is the set of its distinct word shingles, as 64-bit hashes.  Documents with equal sets form a class, and
 only the class's smallest id goes on.  Let linked sets of sizes a <= b differ in d elements.  Jaccard >= t gives
 d <= (a + b)(1 - t) / (1 + t).  For a band of sizes this is at most D.  Each element flips one bit of a sketch of
-D + 1 + S words (a word is 2**32 bits wide and is kept as the XOR of its set bits' codes).  The Hamming distance of two
-such parity sketches is at most d, so at most D words differ and at least S + 1 agree: the join is an equi-join on
-(band, word number, word).  Words with few elements agree by chance; a set with at most S of them leaves them out, and
-still one word of any linked pair is left, since equal words have equal counts.  A set near the lower end of its
+W = 2 (D + 1) words (a word is 2**32 bits wide and is kept as the XOR of its set bits' codes).  The Hamming distance of
+two such parity sketches is at most d, so at most D words differ and at least D + 2 agree: the join is an equi-join on
+(band, word number, word).  Words with few elements, or few but those that a sample of the documents shows to be
+common, agree without meaning.  So words are ordered by their rare elements, and each set leaves out its D + 1 last
+words.  Of the words that two linked sets share, the first in that order has D + 1 shared ones behind it, so both
+keep it.  A set near the lower end of its
 band is in the band below, too.
 
 Pairs that meet are linked to the smallest id of their bucket only, which keeps a bucket of m documents to m rows.  The
@@ -49,33 +51,55 @@ def band_of(n: int) -> int:
 
 
 def words_in(band: int, percent: int) -> tuple[int, int]:
-    """(number of sketch words, how many of them may be too thin to join on) for pairs whose smaller set is in ``band``."""
+    """(number of sketch words, how many of them are joined on) for pairs whose smaller set is in ``band``."""
     a = math.floor(RATIO ** (band + 1)) + 1
     b = a * 100 // percent + 1
     differ = (a + b) * (100 - percent) // (100 + percent)
-    spare = (differ + 1) * 3 // 10
-    return differ + 1 + spare, spare
+    return 2 * (differ + 1), differ + 1
 
 
-def keys_of(items: np.ndarray, percent: int) -> np.ndarray:
+def common(docs: DataFrame, width: int, sample: int = 8000, often: int = 3, most: int = 500_000) -> np.ndarray:
+    """Sorted shingles that stand in at least ``often`` of ``sample`` documents, ``most`` at most.
+
+    They only say which sketch words are worth joining on; the result does not depend on them.
+    """
+    picked = docs.select("doc_id").distinct().orderBy(F.xxhash64("doc_id")).limit(sample)
+
+    def run(batches):
+        hashes = WordHashes()
+        for (texts,) in rows(batches, "text", slice_rows=256):
+            found = sets(texts, hashes, width)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], ["x"])
+
+    texts = docs.join(F.broadcast(picked), "doc_id", "left_semi").select("text")
+    counted = texts.mapInArrow(run, "x long").groupBy("x").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= often)
+    got = counted.orderBy(F.desc("n"), "x").limit(most).select("x").toPandas()["x"]
+    return np.sort(got.to_numpy(np.int64).view(np.uint64))
+
+
+def keys_of(items: np.ndarray, percent: int, often: np.ndarray) -> np.ndarray:
     """The join keys of a set: a hash of (band, word number, word) for each joinable word of its one or two bands."""
     n, out = len(items), []
-    band, thin = band_of(n), 4 if percent >= 90 else 2
+    band = band_of(n)
     h = mix(items ^ np.uint64(0xD6E8FEB86659FD93))
+    rare = np.ones(n, bool)
+    if len(often):
+        rare = often[np.minimum(np.searchsorted(often, items), len(often) - 1)] != items
     code = mix(h)  # stands for the one bit of 2**32 that the element flips in its word
     for b in (band, band - 1):
         if b == band or b >= 0 and n * percent <= 100 * (math.floor(RATIO ** (b + 1)) + 1):
-            total, spare = words_in(b, percent)
+            total, joined = words_in(b, percent)
             at = ((h >> np.uint64(32)) * np.uint64(total) >> np.uint64(32)).astype(np.int64)
             word = np.zeros(total, np.uint64)
             np.bitwise_xor.at(word, at, code)
-            count = np.bincount(at, minlength=total)
             key = mix(word ^ mix(np.arange(total, dtype=np.uint64) + np.uint64((b + 1) << 32)))
-            out.append(key[count >= thin] if (count < thin).sum() <= spare else key)
+            # an order of words that depends on nothing but the word: rare elements, elements, hash
+            best = np.lexsort((key, np.bincount(at, minlength=total), np.bincount(at[rare], minlength=total)))
+            out.append(key[best[-joined:]])
     return np.concatenate(out)
 
 
-def measured(docs: DataFrame, width: int, percent: int) -> DataFrame:
+def measured(docs: DataFrame, width: int, percent: int, often: np.ndarray) -> DataFrame:
     """doc_id, n_shingles, fp (128-bit hash of the set) and keys of every row."""
 
     def run(batches):
@@ -83,7 +107,7 @@ def measured(docs: DataFrame, width: int, percent: int) -> DataFrame:
         for ids, texts in rows(batches, "doc_id", "text", slice_rows=256):
             found = sets(texts, hashes, width)
             fp = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in found]
-            keys = [keys_of(s, percent).view(np.int64) if len(s) else None for s in found]
+            keys = [keys_of(s, percent, often).view(np.int64) if len(s) else None for s in found]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(s) for s in found], pa.int64()), pa.array(fp, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "fp", "keys"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, fp binary, keys array<long>")
@@ -147,7 +171,7 @@ def verify(ids: list[int], found: list[np.ndarray], percent: int, sides: list[in
 def join(docs: DataFrame, width: int = 3, percent: int = 90, chunk: int = 512, broadcast_rows: int = 200_000) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``docs``."""
     spark = docs.sparkSession
-    table = scratch.save(measured(docs, width, percent), "sets")
+    table = scratch.save(measured(docs, width, percent, common(docs, width)), "sets")
     classes = scratch.save(table.where("fp IS NOT NULL AND doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
     # one row stands for its class; rows that repeat its id carry the same keys or harmless more
     keyed = table.where("fp IS NOT NULL").join(classes, "fp").where("doc_id = rep").select("rep", F.explode("keys").alias("key"))
