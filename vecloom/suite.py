@@ -1,4 +1,244 @@
-"""The registered queries of the engine's own operators and their DuckDB text."""
+"""The registered queries of the engine's own operators and their DuckDB text.
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+Every query runs over its whole tables. Floating-point results are rounded on both sides.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from vecloom.functions import fulltext
+from vecloom.functions import vectors as V
+from vecloom.operators import predicates as P
+from vecloom.operators import stats
+from vecloom.operators.indexes import kinds
+from vecloom.plans.query import Query
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+#: The query vector of the distance queries (fixed values): 64 steps of an eighth, alternating in sign.
+POINT = [((-1) ** i) * (i % 9) / 8 for i in range(64)]
+WEIGHTS = [(i % 4 + 1) / 4 for i in range(64)]
+SQL_POINT = "[" + ", ".join(f"{x!r}::DOUBLE" for x in POINT) + "]"
+SQL_WEIGHTS = "[" + ", ".join(f"{x!r}::DOUBLE" for x in WEIGHTS) + "]"
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def register(name: str, oracle: str | None = None):
+    def add(build):
+        QUERIES[name] = build
+        if oracle is not None:
+            ORACLES[name] = oracle
+        return build
+
+    return add
+
+
+def simple(name: str, source: str, build: Callable[[Query], Query], oracle: str) -> None:
+    register(name, oracle)(lambda spark, sf_dir: build(Query(table(spark, sf_dir, source))).frame())
+
+
+# sources and projections
+simple("select_star", "nation", lambda q: q, "SELECT * FROM nation")
+simple("scan_project", "orders", lambda q: q.select("o_orderkey", "o_orderstatus"), "SELECT o_orderkey, o_orderstatus FROM orders")
+simple("alias", "nation", lambda q: q.select(("n_name", "name"), ("n_nationkey", "key")), "SELECT n_name AS name, n_nationkey AS key FROM nation")
+register("subselect_from", "SELECT o_orderkey FROM (SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F') WHERE o_totalprice > 1000")(
+    lambda spark, d: Query(Query(table(spark, d, "orders")).where(("o_orderstatus", "=", "F")).select("o_orderkey", "o_totalprice")).where(("o_totalprice", ">", 1000)).select("o_orderkey").frame()
+)
+register("sample")(lambda spark, d: Query(table(spark, d, "orders")).sample(0.1, 7).select("o_orderkey").frame())
+simple("count_pushdown", "lineitem", lambda q: q.count("n"), "SELECT count(*) AS n FROM lineitem")
+
+# predicates; the table has NULLs where a value is even, so that two-valued logic shows
+OPS = {"eq": "=", "neq": "!=", "lt": "<", "le": "<=", "gt": ">", "ge": ">="}
+for _name, _op in OPS.items():
+    simple(f"filter_{_name}", "lineitem", lambda q, o=_op: q.where(("l_quantity", o, 24.0)).select("l_orderkey", "l_linenumber"), f"SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_quantity {_op} 24")
+simple(
+    "filter_and_or_not", "orders",
+    lambda q: q.where((P.compare("o_orderstatus", "=", "F") & P.negate(P.compare("o_totalprice", "<", 50000.0))) | P.compare("o_orderpriority", "=", "1-URGENT")).select("o_orderkey"),
+    "SELECT o_orderkey FROM orders WHERE (o_orderstatus = 'F' AND NOT coalesce(o_totalprice < 50000, false)) OR o_orderpriority = '1-URGENT'",
+)
+register("filter_not_null_two_valued", "SELECT p_partkey FROM (SELECT p_partkey, nullif(p_size % 5, 0) AS x FROM part) WHERE NOT coalesce(x = 3, false)")(
+    lambda spark, d: Query(table(spark, d, "part").withColumn("x", F.nullif(F.col("p_size") % 5, F.lit(0)))).where(P.negate(P.compare("x", "=", 3))).select("p_partkey").frame()
+)
+simple("filter_between_swapped", "part", lambda q: q.where(P.between("p_size", 20, 10)).select("p_partkey"), "SELECT p_partkey FROM part WHERE p_size BETWEEN 10 AND 20")
+simple("filter_in", "customer", lambda q: q.where(P.isin("c_mktsegment", ["BUILDING", "MACHINERY"])).select("c_custkey"), "SELECT c_custkey FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')")
+register("filter_in_subquery", "SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 5000)")(
+    lambda spark, d: Query(table(spark, d, "orders")).where_in_query("o_custkey", Query(table(spark, d, "customer")).where(("c_acctbal", ">", 5000.0)).select("c_custkey")).select("o_orderkey").frame()
+)
+for _name, _pattern in {"prefix": "P%", "suffix": "%1", "regex": "%a_t%"}.items():
+    simple(f"filter_like_{_name}", "part", lambda q, p=_pattern: q.where(P.like("p_name", p)).select("p_partkey"), f"SELECT p_partkey FROM part WHERE p_name LIKE '{_pattern}'")
+register("filter_is_null", "SELECT p_partkey FROM part WHERE p_size % 5 = 0")(
+    lambda spark, d: Query(table(spark, d, "part").withColumn("x", F.nullif(F.col("p_size") % 5, F.lit(0)))).where(P.isnull("x")).select("p_partkey").frame()
+)
+simple("filter_column_to_column", "lineitem", lambda q: q.where(("l_tax", ">", F.col("l_discount"))).select("l_orderkey", "l_linenumber"), "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_tax > l_discount")
+simple("filter_literal", "nation", lambda q: q.where(F.lit(True)).where(P.any_of()).select("n_name"), "SELECT n_name FROM nation WHERE false")
+
+# aggregates
+simple("agg_sum", "lineitem", lambda q: q.aggregate("sum", "l_quantity"), "SELECT sum(l_quantity::DOUBLE) AS sum_l_quantity FROM lineitem")
+simple("agg_min", "lineitem", lambda q: q.aggregate("min", "l_extendedprice", "l_tax"), "SELECT min(l_extendedprice) AS min_l_extendedprice, min(l_tax) AS min_l_tax FROM lineitem")
+simple("agg_max", "customer", lambda q: q.aggregate("max", "c_acctbal", "c_custkey"), "SELECT max(c_acctbal) AS max_c_acctbal, max(c_custkey) AS max_c_custkey FROM customer")
+simple("agg_count", "orders", lambda q: q.where(("o_orderstatus", "=", "O")).count(), "SELECT count(*) AS count FROM orders WHERE o_orderstatus = 'O'")
+simple("agg_count_distinct", "lineitem", lambda q: q.count_distinct("l_returnflag", "l_linestatus"), "SELECT count(*) AS count FROM (SELECT DISTINCT l_returnflag, l_linestatus FROM lineitem)")
+simple("exists", "orders", lambda q: q.where(("o_totalprice", "<", 0.0)).exists(), 'SELECT count(*) > 0 AS "exists" FROM orders WHERE o_totalprice < 0')
+register("agg_mean", "SELECT round(avg(l_quantity), 6) AS mean_l_quantity, round(avg(l_linenumber), 6) AS mean_l_linenumber FROM lineitem")(
+    lambda spark, d: (lambda f: f.select(*(F.round(c, 6).alias(c) for c in f.columns)))(Query(table(spark, d, "lineitem")).aggregate("mean", "l_quantity", "l_linenumber").frame())
+)
+register("aggregate_after_limit", "SELECT round(sum(o_totalprice), 2) AS s FROM (SELECT o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 100)")(
+    lambda spark, d: Query(table(spark, d, "orders")).order_by(("o_totalprice", "desc"), "o_orderkey").limit(100).aggregate("sum", "o_totalprice").frame().select(F.round("sum_o_totalprice", 2).alias("s"))
+)
+simple("distinct_single", "lineitem", lambda q: q.distinct("l_returnflag"), "SELECT DISTINCT l_returnflag FROM lineitem")
+simple("distinct_multi", "customer", lambda q: q.distinct("c_mktsegment", "c_nationkey"), "SELECT DISTINCT c_mktsegment, c_nationkey FROM customer")
+
+# order, skip, limit: a unique last key makes the row set definite
+simple("sort_multi", "customer", lambda q: q.order_by("c_mktsegment", ("c_acctbal", "desc"), "c_custkey").select("c_custkey"), "SELECT c_custkey FROM customer")
+simple("topk", "orders", lambda q: q.order_by(("o_totalprice", "desc"), "o_orderkey").limit(25).select("o_orderkey", "o_totalprice"), "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25")
+simple("skip_limit", "orders", lambda q: q.order_by("o_orderkey").skip(50).limit(20).select("o_orderkey"), "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 20 OFFSET 50")
+register("sort_nulls", "SELECT p_partkey FROM (SELECT p_partkey, nullif(p_size % 5, 0) AS x FROM part) ORDER BY x ASC NULLS FIRST, p_partkey LIMIT 30")(
+    lambda spark, d: Query(table(spark, d, "part").withColumn("x", F.nullif(F.col("p_size") % 5, F.lit(0)))).order_by("x", "p_partkey").limit(30).select("p_partkey").frame()
+)
+
+# scalar and vector functions
+for _fn, _sql in {"add": "l_quantity + l_tax", "sub": "l_quantity - l_tax", "mul": "l_quantity * l_tax", "div": "l_extendedprice / l_quantity", "max": "greatest(l_discount, l_tax)", "min": "least(l_discount, l_tax)"}.items():
+    _a, _b = ("l_extendedprice", "l_quantity") if _fn == "div" else ("l_discount", "l_tax") if _fn in ("max", "min") else ("l_quantity", "l_tax")
+    register(f"fn_{_fn}", f"SELECT l_orderkey, l_linenumber, round({_sql}, 4) AS x FROM lineitem")(
+        lambda spark, d, f=_fn, a=_a, b=_b: Query(table(spark, d, "lineitem")).function(f, a, b, alias="x").frame().select("l_orderkey", "l_linenumber", F.round("x", 4).alias("x"))
+    )
+register("fn_intdiv", "SELECT l_orderkey, l_linenumber, l_partkey // l_linenumber AS x FROM lineitem")(
+    lambda spark, d: table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", V.intdiv(F.col("l_partkey"), F.col("l_linenumber")).alias("x"))
+)
+simple("filter_function", "lineitem", lambda q: q.function("mul", "l_quantity", "l_tax", alias="t").where(("t", ">", 2.0)).select("l_orderkey", "l_linenumber"), "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_quantity * l_tax > 2")
+_PAIR = f"list_zip(embedding, {SQL_POINT})"
+_VEC = {
+    "vadd": (lambda: V.vadd(F.col("embedding"), POINT), "p[1]::DOUBLE + p[2]"),
+    "vsub": (lambda: V.vsub(F.col("embedding"), POINT), "p[1]::DOUBLE - p[2]"),
+    "vmax": (lambda: V.vmax(F.col("embedding"), POINT), "greatest(p[1]::DOUBLE, p[2])"),
+    "vmin": (lambda: V.vmin(F.col("embedding"), POINT), "least(p[1]::DOUBLE, p[2])"),
+    "vmul": (lambda: V.vmul(F.transform("embedding", lambda x: x.cast("double")), F.col("label")), "p[1]::DOUBLE * label"),
+}
+for _fn, (_make, _sql) in _VEC.items():
+    register(f"vec_{_fn}", f"SELECT vec_id, round(list_sum(list_transform({_PAIR}, lambda p: {_sql})), 4) AS x FROM embeddings")(
+        lambda spark, d, m=_make: table(spark, d, "embeddings").select("vec_id", F.round(V.vsum(m()), 4).alias("x"))
+    )
+register("vec_vsum", "SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 4) AS x FROM embeddings")(lambda spark, d: table(spark, d, "embeddings").select("vec_id", F.round(V.vsum("embedding"), 4).alias("x")))
+
+# distances
+_SUM = lambda term: f"list_sum(list_transform({_PAIR}, lambda p: {term}))"
+_NORM = f"sqrt(list_sum(list_transform({SQL_POINT}, lambda x: x * x)))"
+DISTANCES = {
+    "manhattan": _SUM("abs(p[1]::DOUBLE - p[2])"),
+    "euclidean": f"sqrt({_SUM('(p[1]::DOUBLE - p[2]) * (p[1]::DOUBLE - p[2])')})",
+    "squaredeuclidean": _SUM("(p[1]::DOUBLE - p[2]) * (p[1]::DOUBLE - p[2])"),
+    "hamming": _SUM("CASE WHEN p[1]::DOUBLE <> p[2] THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END"),
+    "cosine": f"1 - {_SUM('p[1]::DOUBLE * p[2]')} / (sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) * {_NORM})",
+    "innerproduct": _SUM("p[1]::DOUBLE * p[2]"),
+}
+for _fn, _sql in DISTANCES.items():
+    register(f"dist_{_fn}", f"SELECT vec_id, round({_sql}, 4) AS distance FROM embeddings")(
+        lambda spark, d, f=_fn: table(spark, d, "embeddings").select("vec_id", F.round(V.lookup(f)(F.col("embedding"), POINT), 4).alias("distance"))
+    )
+register("dist_chisquared", f"SELECT vec_id, round({_SUM('CASE WHEN abs(p[1]::DOUBLE) + abs(p[2]) = 0 THEN 0 ELSE power(abs(p[1]::DOUBLE) - abs(p[2]), 2) / (abs(p[1]::DOUBLE) + abs(p[2])) END')}, 4) AS distance FROM embeddings")(
+    lambda spark, d: table(spark, d, "embeddings").select("vec_id", F.round(V.chisquared(F.transform("embedding", lambda x: F.abs(x.cast("double"))), [abs(x) for x in POINT]), 4).alias("distance"))
+)
+register("dist_hyperplane", f"SELECT vec_id, round(({_SUM('p[1]::DOUBLE * p[2]')} + 0.5) / {_NORM}, 4) AS distance FROM embeddings")(
+    lambda spark, d: table(spark, d, "embeddings").select("vec_id", F.round(V.hyperplane(F.col("embedding"), POINT, 0.5), 4).alias("distance"))
+)
+register("dist_manhattanw", f"SELECT vec_id, round(list_sum(list_transform(list_zip(embedding, {SQL_POINT}, {SQL_WEIGHTS}), lambda p: p[3] * abs(p[1]::DOUBLE - p[2]))), 4) AS distance FROM embeddings")(
+    lambda spark, d: table(spark, d, "embeddings").select("vec_id", F.round(V.manhattanw(F.col("embedding"), POINT, WEIGHTS), 4).alias("distance"))
+)
+register(
+    "dist_haversine",
+    "SELECT c_custkey, round(2 * 6371000.0 * asin(least(1.0, sqrt(power(sin((radians(c_nationkey * 3.0) - radians(47.5)) / 2), 2) + cos(radians(c_nationkey * 3.0)) * cos(radians(47.5)) * power(sin((radians(c_acctbal / 100) - radians(7.6)) / 2), 2)))), 2) AS distance FROM customer",
+)(lambda spark, d: table(spark, d, "customer").select("c_custkey", F.round(V.haversine(F.array(F.col("c_nationkey") * F.lit(3.0), F.col("c_acctbal") / 100), [47.5, 7.6]), 2).alias("distance")))
+
+
+# neighbours
+def _knn(name: str, kind: str, order: str = "ASC", where: str = "", k: int = 10) -> str:
+    return f"SELECT vec_id, round(d, 4) AS distance FROM (SELECT vec_id, label, {DISTANCES[kind]} AS d FROM embeddings) {where} ORDER BY d {order}, vec_id LIMIT {k}"
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.select("vec_id", F.round("distance", 4).alias("distance"))
+
+
+for _fn in ("manhattan", "euclidean", "squaredeuclidean", "cosine", "innerproduct"):
+    register(f"knn_{_fn}", _knn("knn", _fn))(lambda spark, d, f=_fn: _rounded(Query(table(spark, d, "embeddings")).nearest("embedding", POINT, f, 10, "vec_id").frame()))
+    register(f"fns_{_fn}", _knn("fns", _fn, "DESC"))(lambda spark, d, f=_fn: _rounded(Query(table(spark, d, "embeddings")).farthest("embedding", POINT, f, 10, "vec_id").frame()))
+register("knn_filtered", _knn("knn", "euclidean", where="WHERE label IN (1, 3, 5)"))(
+    lambda spark, d: _rounded(Query(table(spark, d, "embeddings")).where(P.isin("label", [1, 3, 5])).nearest("embedding", POINT, "euclidean", 10, "vec_id").frame())
+)
+register("range_search", f"SELECT vec_id, round(d, 4) AS distance FROM (SELECT vec_id, {DISTANCES['euclidean']} AS d FROM embeddings) WHERE d <= 8")(
+    lambda spark, d: _rounded(Query(table(spark, d, "embeddings")).distance("embedding", POINT, "euclidean").range("distance", 8.0).frame())
+)
+
+
+# indexes answer as the scan does
+class _Indexed:
+    def __init__(self, df: DataFrame, index: kinds.Index):
+        self.df, self.index = df, index
+
+    def frame(self) -> DataFrame:
+        return self.df
+
+    def indexes(self) -> list[kinds.Index]:
+        return [self.index]
+
+
+def indexed(spark: SparkSession, sf_dir: str, kind: str, **params) -> Query:
+    df = table(spark, sf_dir, "embeddings")
+    return Query(_Indexed(df, kinds.build(df, kind, kind, "embedding", **params)))
+
+
+for _fn in ("manhattan", "euclidean", "squaredeuclidean"):
+    register(f"index_vaf_{_fn}", _knn("knn", _fn))(lambda spark, d, f=_fn: _rounded(indexed(spark, d, "vaf").nearest("embedding", POINT, f, 10, "vec_id").frame()))
+register("index_vaf_farthest", _knn("fns", "euclidean", "DESC"))(lambda spark, d: _rounded(indexed(spark, d, "vaf").farthest("embedding", POINT, "euclidean", 10, "vec_id").frame()))
+for _kind, _fn in {"pq": "euclidean", "ivfpq": "euclidean", "lsh": "cosine"}.items():
+    register(f"index_{_kind}")(lambda spark, d, k=_kind, f=_fn: _rounded(indexed(spark, d, k).hint(approx=True).nearest("embedding", POINT, f, 10, "vec_id").frame()))
+register("index_btree_in", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey IN (7, 33, 100, 4242)")(
+    lambda spark, d: kinds.build(table(spark, d, "orders"), "btree", "b", "o_orderkey").lookup([7, 33, 100, 4242]).select("o_orderkey", "o_totalprice")
+)
+register("index_btree_range", "SELECT o_orderkey FROM orders WHERE o_orderkey BETWEEN 100 AND 900")(lambda spark, d: kinds.build(table(spark, d, "orders"), "btree", "b", "o_orderkey").between(900, 100).select("o_orderkey"))
+register("index_btree_uq", "SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (5)")(lambda spark, d: kinds.build(table(spark, d, "customer"), "btree_uq", "u", "c_custkey").lookup([5]).select("c_custkey", "c_name"))
+register("index_lucene_postings", r"SELECT term, doc_id, count(*) AS tf, any_value(len) AS len FROM (SELECT doc_id, len(w) AS len, unnest(w) AS term FROM (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda t: t <> '') AS w FROM documents)) WHERE term IN ('that', 'para') GROUP BY term, doc_id")(
+    lambda spark, d: kinds.build(table(spark, d, "documents"), "lucene", "t", "text", key="doc_id").lookup(["that", "para"])
+)
+
+# fulltext
+_TERMS = r"SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda t: t <> '') AS w FROM documents"
+
+
+def _bm25(hits: list[str]) -> str:
+    tf = ", ".join(f"len(list_filter(w, lambda t: {h})) AS tf{k}" for k, h in enumerate(hits))
+    df = ", ".join(f"count(*) FILTER (tf{k} > 0) AS df{k}" for k in range(len(hits)))
+    score = " + ".join(f"ln(1 + (n - df{k} + 0.5) / (df{k} + 0.5)) * tf{k} / (tf{k} + 1.2 * (1 - 0.75 + 0.75 * len / mean))" for k in range(len(hits)))
+    return f"WITH t AS ({_TERMS}), f AS (SELECT doc_id, len(w) AS len, {tf} FROM t), s AS (SELECT count(*) AS n, avg(len) AS mean, {df} FROM f) SELECT doc_id, round({score}, 4) AS score FROM f, s WHERE (" + " OR ".join(f"tf{k} > 0" for k in range(len(hits))) + ")"
+
+
+register("fulltext_match", _bm25(["t = 'that'", "t = 'para'"]))(lambda spark, d: Query(table(spark, d, "documents")).fulltext("text", "that para").frame().select("doc_id", F.round("score", 4).alias("score")))
+register("fulltext_prefix", _bm25(["starts_with(t, 'ber')"]))(lambda spark, d: Query(table(spark, d, "documents")).fulltext("text", "ber*").frame().select("doc_id", F.round("score", 4).alias("score")))
+register("fulltext_not", _bm25(["t = 'that'"]) + " AND doc_id NOT IN (SELECT doc_id FROM t WHERE list_contains(w, 'when'))")(
+    lambda spark, d: fulltext.scored(table(spark, d, "documents"), "text", "that NOT when").select("doc_id", F.round("score", 4).alias("score"))
+)
+
+# statistics
+register(
+    "stats_scalar",
+    "SELECT count(*) AS entries, count(*) FILTER (l_tax IS NULL) AS nulls, count(DISTINCT l_tax) AS n_distinct, min(l_tax) AS min, max(l_tax) AS max, round(sum(l_tax), 3) AS sum, round(avg(l_tax), 6) AS mean, round(var_samp(l_tax), 6) AS variance FROM lineitem",
+)(
+    lambda spark, d: (lambda m: table(spark, d, "lineitem").agg(*(F.round(m[k], r).alias(a) if r else m[k].alias(a) for k, a, r in (("entries", "entries", 0), ("nulls", "nulls", 0), ("distinct", "n_distinct", 0), ("min", "min", 0), ("max", "max", 0), ("sum", "sum", 3), ("mean", "mean", 6), ("variance", "variance", 6)))))(
+        {k: x for c, k, x in stats.measures(table(spark, d, "lineitem").select("l_tax"), exact_distinct=True)}
+    )
+)
+register("stats_string", "SELECT min(length(c_name)) AS min_width, max(length(c_name)) AS max_width, round(avg(length(c_name)), 6) AS avg_width FROM customer")(
+    lambda spark, d: (lambda m: table(spark, d, "customer").agg(m["min_width"].cast("long").alias("min_width"), m["max_width"].cast("long").alias("max_width"), F.round(m["avg_width"], 6).alias("avg_width")))({k: x for c, k, x in stats.measures(table(spark, d, "customer").select("c_name"))})
+)
+register("stats_vector", "SELECT i AS component, count(x) AS n, min(x::DOUBLE) AS min, max(x::DOUBLE) AS max, round(sum(x::DOUBLE), 4) AS sum, round(avg(x::DOUBLE), 6) AS mean FROM (SELECT unnest(embedding) AS x, CAST(unnest(range(len(embedding))) AS INTEGER) AS i FROM embeddings) GROUP BY i")(
+    lambda spark, d: stats.vector_stats(table(spark, d, "embeddings"), "embedding").select("component", "n", "min", "max", F.round("sum", 4).alias("sum"), F.round("mean", 6).alias("mean"))
+)
+register("analyze")(lambda spark, d: stats.analyze(table(spark, d, "orders")))
