@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vecloom.llm import chat, html, jaccard, lines, mixing, packing, quality, topk, urls
+from vecloom.llm import chat, html, jaccard, lines, mixing, packing, quality, suffix, topk, urls
 
 QUERIES = {
     "op1_line_dedup": lines.query,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_quality_rules": quality.query,
     "op7_mixing": mixing.query,
     "op8_url_filters": urls.query,
+    "op9_suffix_dedup": suffix.query,
     "op10_exact_topk": topk.query,
 }
 
