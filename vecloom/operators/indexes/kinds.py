@@ -164,7 +164,8 @@ def build(df: DataFrame, kind: str, name: str, column: str, **params: Any) -> In
         low, high = np.array(ends[:dim], float), np.array(ends[dim:], float)
         step = (high - low) / (marks - 3)
         low = low - step  # one step of slack on either side
-        cells = F.array(*(F.least(F.greatest(F.floor((F.col(column)[j].cast("double") - float(low[j])) / float(step[j] or 1)), F.lit(0)), F.lit(marks - 2)).cast("short") for j in range(dim)))
+        shifted = F.zip_with(F.col(column), F.array(*(F.lit(float(x)) for x in low)), lambda x, a: x.cast("double") - a)
+        cells = F.zip_with(shifted, F.array(*(F.lit(float(x or 1)) for x in step)), lambda x, s: F.least(F.greatest(F.floor(x / s), F.lit(0)), F.lit(marks - 2)).cast("short"))
         return Index(kind, name, column, usable.withColumn("_cells", cells), {"low": low, "step": step, "marks": marks}, reads=0.1)
     some = usable.select(column).orderBy(F.xxhash64(column)).limit(int(params.get("sample", 20_000))).toPandas()[column]
     x = np.array([np.asarray(v, float) for v in some]).reshape(-1, dim)

@@ -82,7 +82,7 @@ simple("filter_literal", "nation", lambda q: q.where(F.lit(True)).where(P.any_of
 
 # aggregates
 simple("agg_sum", "lineitem", lambda q: q.aggregate("sum", "l_quantity"), "SELECT sum(l_quantity::DOUBLE) AS sum_l_quantity FROM lineitem")
-simple("agg_min", "lineitem", lambda q: q.aggregate("min", "l_extendedprice", "l_tax"), "SELECT min(l_extendedprice) AS min_l_extendedprice, min(l_tax) AS min_l_tax FROM lineitem")
+simple("agg_min", "lineitem", lambda q: q.aggregate("min", "l_extendedprice", "l_quantity"), "SELECT min(l_extendedprice) AS min_l_extendedprice, min(l_quantity) AS min_l_quantity FROM lineitem")
 simple("agg_max", "customer", lambda q: q.aggregate("max", "c_acctbal", "c_custkey"), "SELECT max(c_acctbal) AS max_c_acctbal, max(c_custkey) AS max_c_custkey FROM customer")
 simple("agg_count", "orders", lambda q: q.where(("o_orderstatus", "=", "O")).count(), "SELECT count(*) AS count FROM orders WHERE o_orderstatus = 'O'")
 simple("agg_count_distinct", "lineitem", lambda q: q.count_distinct("l_returnflag", "l_linestatus"), "SELECT count(*) AS count FROM (SELECT DISTINCT l_returnflag, l_linestatus FROM lineitem)")
@@ -107,8 +107,8 @@ register("sort_nulls", "SELECT p_partkey FROM (SELECT p_partkey, nullif(p_size %
 # scalar and vector functions
 for _fn, _sql in {"add": "l_quantity + l_tax", "sub": "l_quantity - l_tax", "mul": "l_quantity * l_tax", "div": "l_extendedprice / l_quantity", "max": "greatest(l_discount, l_tax)", "min": "least(l_discount, l_tax)"}.items():
     _a, _b = ("l_extendedprice", "l_quantity") if _fn == "div" else ("l_discount", "l_tax") if _fn in ("max", "min") else ("l_quantity", "l_tax")
-    register(f"fn_{_fn}", f"SELECT l_orderkey, l_linenumber, round({_sql}, 4) AS x FROM lineitem")(
-        lambda spark, d, f=_fn, a=_a, b=_b: Query(table(spark, d, "lineitem")).function(f, a, b, alias="x").frame().select("l_orderkey", "l_linenumber", F.round("x", 4).alias("x"))
+    register(f"fn_{_fn}", f"SELECT l_orderkey, l_linenumber, {_sql} AS x FROM lineitem")(
+        lambda spark, d, f=_fn, a=_a, b=_b: Query(table(spark, d, "lineitem")).function(f, a, b, alias="x").frame().select("l_orderkey", "l_linenumber", "x")
     )
 register("fn_intdiv", "SELECT l_orderkey, l_linenumber, l_partkey // l_linenumber AS x FROM lineitem")(
     lambda spark, d: table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", V.intdiv(F.col("l_partkey"), F.col("l_linenumber")).alias("x"))
@@ -146,8 +146,8 @@ for _fn, _sql in DISTANCES.items():
 register("dist_chisquared", f"SELECT vec_id, round({_SUM('CASE WHEN abs(p[1]::DOUBLE) + abs(p[2]) = 0 THEN 0 ELSE power(abs(p[1]::DOUBLE) - abs(p[2]), 2) / (abs(p[1]::DOUBLE) + abs(p[2])) END')}, 4) AS distance FROM embeddings")(
     lambda spark, d: table(spark, d, "embeddings").select("vec_id", F.round(V.chisquared(F.transform("embedding", lambda x: F.abs(x.cast("double"))), [abs(x) for x in POINT]), 4).alias("distance"))
 )
-register("dist_hyperplane", f"SELECT vec_id, round(({_SUM('p[1]::DOUBLE * p[2]')} + 0.5) / {_NORM}, 4) AS distance FROM embeddings")(
-    lambda spark, d: table(spark, d, "embeddings").select("vec_id", F.round(V.hyperplane(F.col("embedding"), POINT, 0.5), 4).alias("distance"))
+register("dist_hyperplane", f"SELECT vec_id, round(({_SUM('p[1]::DOUBLE * p[2]')} + 0.5) / {_NORM}, 4) + 0.0 AS distance FROM embeddings")(
+    lambda spark, d: table(spark, d, "embeddings").select("vec_id", (F.round(V.hyperplane(F.col("embedding"), POINT, 0.5), 4) + F.lit(0.0)).alias("distance"))
 )
 register("dist_manhattanw", f"SELECT vec_id, round(list_sum(list_transform(list_zip(embedding, {SQL_POINT}, {SQL_WEIGHTS}), lambda p: p[3] * abs(p[1]::DOUBLE - p[2]))), 4) AS distance FROM embeddings")(
     lambda spark, d: table(spark, d, "embeddings").select("vec_id", F.round(V.manhattanw(F.col("embedding"), POINT, WEIGHTS), 4).alias("distance"))
@@ -229,9 +229,9 @@ register("fulltext_not", _bm25(["t = 'that'"]) + " AND doc_id NOT IN (SELECT doc
 # statistics
 register(
     "stats_scalar",
-    "SELECT count(*) AS entries, count(*) FILTER (l_tax IS NULL) AS nulls, count(DISTINCT l_tax) AS n_distinct, min(l_tax) AS min, max(l_tax) AS max, round(sum(l_tax), 3) AS sum, round(avg(l_tax), 6) AS mean, round(var_samp(l_tax), 6) AS variance FROM lineitem",
+    "SELECT count(*) AS entries, count(*) FILTER (l_tax IS NULL) AS nulls, count(DISTINCT l_tax) AS n_distinct, min(l_tax) AS min, max(l_tax) AS max, round(sum(l_tax), 3) AS sum, round(avg(l_tax), 4) AS mean, round(var_samp(l_tax), 4) AS variance FROM lineitem",
 )(
-    lambda spark, d: (lambda m: table(spark, d, "lineitem").agg(*(F.round(m[k], r).alias(a) if r else m[k].alias(a) for k, a, r in (("entries", "entries", 0), ("nulls", "nulls", 0), ("distinct", "n_distinct", 0), ("min", "min", 0), ("max", "max", 0), ("sum", "sum", 3), ("mean", "mean", 6), ("variance", "variance", 6)))))(
+    lambda spark, d: (lambda m: table(spark, d, "lineitem").agg(*(F.round(m[k], r).alias(a) if r else m[k].alias(a) for k, a, r in (("entries", "entries", 0), ("nulls", "nulls", 0), ("distinct", "n_distinct", 0), ("min", "min", 0), ("max", "max", 0), ("sum", "sum", 3), ("mean", "mean", 4), ("variance", "variance", 4)))))(
         {k: x for c, k, x in stats.measures(table(spark, d, "lineitem").select("l_tax"), exact_distinct=True)}
     )
 )
