@@ -24,6 +24,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -139,25 +140,47 @@ def anchors(raw: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndar
     return (low & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64), h
 
 
-def marked(spans: list[bytes], length: int, largest: int) -> list[np.ndarray]:
-    """For each span, which of its windows also start elsewhere in ``spans``."""
-    out = [np.zeros(len(s) - length + 1, bool) for s in spans]
-    if sum(map(len, spans)) <= largest:
-        text = b"\n".join(spans)  # a separator for places only: windows are compared within their spans
+def shared(a: bytes, b: bytes) -> int:
+    """Length of the common prefix."""
+    n = min(len(a), len(b))
+    return n - ((int.from_bytes(a[:n]) ^ int.from_bytes(b[:n])).bit_length() + 7) // 8
+
+
+def reach(parts: list[bytes]) -> list[int]:
+    """For each string, the longest prefix that it shares with any other: neighbours in sorted order have it."""
+    order = sorted(range(len(parts)), key=parts.__getitem__)
+    out = [0] * len(parts)
+    for i, j in zip(order, order[1:], strict=False):
+        k = shared(parts[i], parts[j])
+        out[i], out[j] = max(out[i], k), max(out[j], k)
+    return out
+
+
+def marked(spans: list[tuple[bytes, int]], length: int) -> list[np.ndarray]:
+    """For each span (bytes, offset of its anchor), which of its windows also start elsewhere in ``spans``.
+
+    A shared window holds the anchor, so it lies within what the span shares with any other to the left and right of
+    it; the rest of the span is left out of the suffix array.
+    """
+    out = [np.zeros(len(s) - length + 1, bool) for s, _ in spans]
+    left, right = reach([s[:o][::-1] for s, o in spans]), reach([s[o:] for s, o in spans])
+    kept = [(k, o - a, s[o - a : o + b]) for k, ((s, o), a, b) in enumerate(zip(spans, left, right, strict=True)) if a + b >= length]
+    if len(kept) > 1:
+        text = b"\n".join(s for _, _, s in kept)  # a separator for places only: windows are compared within their spans
         symbols = np.frombuffer(text, np.uint8).astype(np.int64) + 1
-        where, begin, at = np.full(len(text), -1), [], 0
-        for k, s in enumerate(spans):
-            begin.append(at)
-            where[at : at + len(s) - length + 1] = k
+        where, shift, at = np.full(len(text), -1), [], 0
+        for x, (_, a, s) in enumerate(kept):
+            shift.append(a - at)
+            where[at : at + len(s) - length + 1] = x
             at += len(s) + 1
             if at <= len(text):
                 symbols[at - 1] = 0
+        where = where.tolist()
         order = [i for i in suffix_array(symbols.tolist()) if where[i] >= 0]
         for i, j in zip(order, order[1:], strict=False):
             if text[i : i + length] == text[j : j + length]:
                 for x in (i, j):
-                    out[where[x]][x - begin[where[x]]] = True
-        return out
+                    out[kept[where[x]][0]][x + shift[where[x]]] = True
     return out
 
 
@@ -191,28 +214,28 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, largest: int
                 if len(raw) >= length:
                     at, h = anchors(raw, length, gram)
                     p = np.unique(at)
-                    th = hashlib.blake2b(raw, digest_size=16).digest()
+                    th = xxhash.xxh3_64_intdigest(raw) >> 1
                     out[0].extend([i] * len(p))
                     out[1].extend([th] * len(p))
                     out[2].append(p)
                     out[3].append(h[p])
             cat = [np.concatenate(x) if x else np.zeros(0) for x in out[2:]]
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary()), pa.array(cat[0].astype(np.int64)), pa.array(cat[1].astype(np.uint64).view(np.int64))], ["doc_id", "th", "p", "fp"])
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(cat[0].astype(np.int64)), pa.array(cat[1].astype(np.uint64).view(np.int64))], ["doc_id", "th", "p", "fp"])
 
-    found = scratch.save(docs.mapInArrow(first, "doc_id long, th binary, p long, fp long"), "anchors")
+    found = scratch.save(docs.mapInArrow(first, "doc_id long, th long, p long, fp long"), "anchors")
     again = found.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("fp")
     # rows with one id and one text share a list: its positions are sets
     places = found.join(again, "fp").groupBy("doc_id", "th").agg(F.sort_array(F.collect_set("p")).alias("ps"))
 
     def packed(batches):
-        squeeze = zstandard.ZstdCompressor(level=1)
+        squeeze = zstandard.ZstdCompressor(level=3)
         for ids, texts in rows(batches, "doc_id", "text", slice_rows=128):
             raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array([hashlib.blake2b(r, digest_size=16).digest() for r in raw], pa.binary()), pa.array([squeeze.compress(r) for r in raw], pa.binary())], ["doc_id", "th", "z"]
+                [pa.array(ids, pa.int64()), pa.array([xxhash.xxh3_64_intdigest(r) >> 1 for r in raw], pa.int64()), pa.array([squeeze.compress(r) for r in raw], pa.binary())], ["doc_id", "th", "z"]
             )
 
-    small = docs.mapInArrow(packed, "doc_id long, th binary, z binary")
+    small = docs.mapInArrow(packed, "doc_id long, th long, z binary")
     on = [F.col("l.doc_id").eqNullSafe(F.col("r.doc_id")), F.col("l.th") == F.col("r.th")]
     with_places = small.alias("l").join(places.alias("r"), on).select("l.doc_id", "l.th", "z", "ps")
 
@@ -229,10 +252,10 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, largest: int
                     for p, a, b in zip(ps, low.tolist(), high.tolist(), strict=True):
                         for x, value in zip(out, (int(h[p : p + 1].view(np.int64)[0]), raw[a : b - 1 + length], p - a, i, th, a), strict=True):
                             x.append(value)
-                kinds = (pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.binary(), pa.int64())
+                kinds = (pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], ["fp", "span", "off", "doc_id", "th", "a"])
 
-    sent = with_places.mapInArrow(spans, "fp long, span binary, off int, doc_id long, th binary, a long")
+    sent = with_places.mapInArrow(spans, "fp long, span binary, off int, doc_id long, th long, a long")
 
     def settle(batches):
         """Rows come sorted by (fp, span), so equal spans are neighbours and only one of them is kept."""
@@ -247,15 +270,15 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, largest: int
         def close():
             lonely = [h for h in held if h[6] == 1]
             if lonely and len(held) > 1:
-                pieces = [h[1] for h in held]
-                marks = marked(pieces, length, largest) if sum(map(len, pieces)) <= largest else plain_marks([(h[1], h[2]) for h in held], length)
+                pieces = [(h[1], h[2]) for h in held]
+                marks = marked(pieces, length) if sum(len(p) for p, _ in pieces) <= largest else plain_marks(pieces, length)
                 for h, m in zip(held, marks, strict=True):
                     if h[6] == 1:
                         for a, b in runs(m):
                             give(h, a, b - 1 + length)
 
         def flush():
-            batch = pa.RecordBatch.from_arrays([pa.array(result[0], pa.int64()), pa.array(result[1], pa.binary()), pa.array(result[2], pa.int64()), pa.array(result[3], pa.int64())], ["doc_id", "th", "a", "b"])
+            batch = pa.RecordBatch.from_arrays([pa.array(result[0], pa.int64()), pa.array(result[1], pa.int64()), pa.array(result[2], pa.int64()), pa.array(result[3], pa.int64())], ["doc_id", "th", "a", "b"])
             for x in result:
                 x.clear()
             return batch
@@ -276,7 +299,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, largest: int
         close()
         yield flush()
 
-    gone = sent.repartition("fp").sortWithinPartitions("fp", "span").mapInArrow(settle, "doc_id long, th binary, a long, b long")
+    gone = sent.repartition("fp").sortWithinPartitions("fp", "span").mapInArrow(settle, "doc_id long, th long, a long, b long")
     merged = gone.groupBy("doc_id", "th").agg(F.sort_array(F.collect_set(F.struct("a", "b"))).alias("cut"))
     both = small.alias("l").join(merged.alias("r"), on, "left").select("l.doc_id", "z", "cut")
 
