@@ -24,8 +24,6 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -204,17 +202,17 @@ def runs(mask: np.ndarray) -> list[tuple[int, int]]:
 
 def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, largest: int = 200_000) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the remaining bytes) of every row."""
-    docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    # the hash tells apart rows of one doc_id; both joins below deal this out alike, so its exchange is used twice
+    docs = docs.select("doc_id", F.xxhash64("text").alias("th"), F.col("text").cast("string").alias("text"))
 
     def first(batches):
-        for ids, texts in rows(batches, "doc_id", "text", slice_rows=128):
+        for ids, ths, texts in rows(batches, "doc_id", "th", "text", slice_rows=128):
             out = ([], [], [], [])
-            for i, t in zip(ids, texts, strict=True):
+            for i, th, t in zip(ids, ths, texts, strict=True):
                 raw = (t or "").encode("utf-8", "surrogatepass")
                 if len(raw) >= length:
                     at, h = anchors(raw, length, gram)
                     p = np.unique(at)
-                    th = xxhash.xxh3_64_intdigest(raw) >> 1
                     out[0].extend([i] * len(p))
                     out[1].extend([th] * len(p))
                     out[2].append(p)
@@ -227,25 +225,15 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, largest: int
     # rows with one id and one text share a list: its positions are sets
     places = found.join(again, "fp").groupBy("doc_id", "th").agg(F.sort_array(F.collect_set("p")).alias("ps"))
 
-    def packed(batches):
-        squeeze = zstandard.ZstdCompressor(level=3)
-        for ids, texts in rows(batches, "doc_id", "text", slice_rows=128):
-            raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array([xxhash.xxh3_64_intdigest(r) >> 1 for r in raw], pa.int64()), pa.array([squeeze.compress(r) for r in raw], pa.binary())], ["doc_id", "th", "z"]
-            )
-
-    small = docs.mapInArrow(packed, "doc_id long, th long, z binary")
     on = [F.col("l.doc_id").eqNullSafe(F.col("r.doc_id")), F.col("l.th") == F.col("r.th")]
-    with_places = small.alias("l").join(places.alias("r"), on).select("l.doc_id", "l.th", "z", "ps")
+    with_places = docs.alias("l").join(places.alias("r"), on).select("l.doc_id", "l.th", "text", "ps")
 
     def spans(batches):
-        expand = zstandard.ZstdDecompressor()
         for batch in batches:
-            for ids, ths, zs, pss in rows([batch], "doc_id", "th", "z", "ps", slice_rows=64):
+            for ids, ths, texts, pss in rows([batch], "doc_id", "th", "text", "ps", slice_rows=64):
                 out = ([], [], [], [], [], [])
-                for i, th, z, ps in zip(ids, ths, zs, pss, strict=True):
-                    raw = expand.decompress(z)
+                for i, th, text, ps in zip(ids, ths, texts, pss, strict=True):
+                    raw = text.encode("utf-8", "surrogatepass")
                     at, h = anchors(raw, length, gram)
                     # positions of one anchor are consecutive starts, since anchors never move left
                     low, high = np.searchsorted(at, ps, "left"), np.searchsorted(at, ps, "right")
@@ -301,15 +289,14 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, largest: int
 
     gone = sent.repartition("fp").sortWithinPartitions("fp", "span").mapInArrow(settle, "doc_id long, th long, a long, b long")
     merged = gone.groupBy("doc_id", "th").agg(F.sort_array(F.collect_set(F.struct("a", "b"))).alias("cut"))
-    both = small.alias("l").join(merged.alias("r"), on, "left").select("l.doc_id", "z", "cut")
+    both = docs.alias("l").join(merged.alias("r"), on, "left").select("l.doc_id", "text", "cut")
 
     def finish(batches):
-        expand = zstandard.ZstdDecompressor()
         for batch in batches:
-            for ids, zs, cuts in rows([batch], "doc_id", "z", "cut", slice_rows=128):
+            for ids, texts, cuts in rows([batch], "doc_id", "text", "cut", slice_rows=128):
                 out = ([], [], [], [], [], [])
-                for i, z, cut in zip(ids, zs, cuts, strict=True):
-                    raw = expand.decompress(z)
+                for i, text, cut in zip(ids, texts, cuts, strict=True):
+                    raw = (text or "").encode("utf-8", "surrogatepass")
                     kept, at, removed, n = [], 0, 0, 0
                     for c in cut or []:
                         if c["a"] > at or n == 0:  # a new run; runs that touch are one
