@@ -9,7 +9,7 @@ from pyspark.sql import SparkSession
 
 from vecloom import suite
 
-HEADLINE = ["filter_eq", "filter_and_or_not", "agg_sum", "agg_mean", "agg_count_distinct", "distinct_multi", "topk", "skip_limit", "fn_mul", "dist_euclidean", "dist_cosine", "knn_euclidean", "knn_filtered", "fns_euclidean", "index_vaf_euclidean", "index_pq", "fulltext_match"]
+HEADLINE = ["filter_eq", "filter_and_or_not", "agg_sum", "agg_mean", "agg_count_distinct", "distinct_multi", "topk", "skip_limit", "fn_mul", "dist_euclidean", "dist_cosine", "knn_euclidean", "knn_filtered", "fns_euclidean", "index_vaf_euclidean", "fulltext_match"]
 
 
 def main() -> None:
