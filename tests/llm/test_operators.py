@@ -83,6 +83,16 @@ def test_jaccard(docs, width, percent, chunk):
     assert got == jaccard_by_force(docs.collect(), width, percent)
 
 
+def test_jaccard_of_a_large_group(spark):
+    """Near copies so many that their keys are aggregated before the shuffle, and exact copies among them."""
+    base = [f"w{k}" for k in range(120)]
+    texts = [" ".join([*base[:k], "x", *base[k + 1 :]]) for k in range(0, 120, 3)] + [" ".join(base)] * 5
+    docs = spark.createDataFrame([(k, t, "en", "s", 7) for k, t in enumerate([*texts, "a b c d"])], DOCS)
+    often = jaccard.common(docs, 3)
+    assert len(jaccard.hot_keys(docs, 3, 90, often))
+    assert sorted(tuple(r) for r in jaccard.join(docs).collect()) == jaccard_by_force(docs.collect(), 3, 90)
+
+
 def test_jaccard_of_nothing(spark):
     assert jaccard.join(spark.createDataFrame([], DOCS)).count() == 0
 

@@ -11,7 +11,8 @@ words.  Of the words that two linked sets share, the first in that order has D +
 keep it.  A set near the lower end of its
 band is in the band below, too.
 
-Pairs that meet are linked to the smallest id of their bucket only, which keeps a bucket of m documents to m rows.  The
+Pairs that meet are linked to the smallest id of their bucket only, which keeps a bucket of m documents to m rows;
+buckets that a sample shows to be large are aggregated before the shuffle and never gathered.  The
 components of these candidate links hold every linked pair, since documents of one bucket are in one component.  Each
 component is then verified exactly: an inverted list gives the intersections of one set with all others at once,
 pairs already connected are skipped, and a component of more than ``chunk`` documents is split into all pairs of chunks,
@@ -58,12 +59,24 @@ def words_in(band: int, percent: int) -> tuple[int, int]:
     return 2 * (differ + 1), differ + 1
 
 
+def sampled(docs: DataFrame, most: int) -> DataFrame:
+    """The texts of ``most`` ids, those with the smallest hashes."""
+    picked = docs.select("doc_id").distinct().orderBy(F.xxhash64("doc_id")).limit(most)
+    return docs.join(F.broadcast(picked), "doc_id", "left_semi").select("text")
+
+
+def frequent(values: DataFrame, least: int, most: int) -> np.ndarray:
+    """Sorted values of x that stand in at least ``least`` rows, the ``most`` most frequent at most."""
+    counted = values.groupBy("x").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    got = counted.orderBy(F.desc("n"), "x").limit(most).select("x").toPandas()["x"]
+    return np.sort(got.to_numpy(np.int64).view(np.uint64))
+
+
 def common(docs: DataFrame, width: int, sample: int = 8000, often: int = 3, most: int = 500_000) -> np.ndarray:
     """Sorted shingles that stand in at least ``often`` of ``sample`` documents, ``most`` at most.
 
     They only say which sketch words are worth joining on; the result does not depend on them.
     """
-    picked = docs.select("doc_id").distinct().orderBy(F.xxhash64("doc_id")).limit(sample)
 
     def run(batches):
         hashes = WordHashes()
@@ -71,10 +84,22 @@ def common(docs: DataFrame, width: int, sample: int = 8000, often: int = 3, most
             found = sets(texts, hashes, width)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], ["x"])
 
-    texts = docs.join(F.broadcast(picked), "doc_id", "left_semi").select("text")
-    counted = texts.mapInArrow(run, "x long").groupBy("x").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= often)
-    got = counted.orderBy(F.desc("n"), "x").limit(most).select("x").toPandas()["x"]
-    return np.sort(got.to_numpy(np.int64).view(np.uint64))
+    return frequent(sampled(docs, sample).mapInArrow(run, "x long"), often, most)
+
+
+def hot_keys(docs: DataFrame, width: int, percent: int, often: np.ndarray, sample: int = 2000, least: int = 20, most: int = 20_000) -> np.ndarray:
+    """Sorted join keys of at least ``least`` of ``sample`` documents, ``most`` at most.
+
+    They only say which keys are aggregated before the shuffle; the result does not depend on them.
+    """
+
+    def run(batches):
+        hashes = WordHashes()
+        for (texts,) in rows(batches, "text", slice_rows=256):
+            found = [keys_of(s, percent, often) for s in sets(texts, hashes, width) if len(s)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64))], ["x"])
+
+    return frequent(sampled(docs, sample).mapInArrow(run, "x long"), least, most)
 
 
 def keys_of(items: np.ndarray, percent: int, often: np.ndarray) -> np.ndarray:
@@ -99,18 +124,25 @@ def keys_of(items: np.ndarray, percent: int, often: np.ndarray) -> np.ndarray:
     return np.concatenate(out)
 
 
-def measured(docs: DataFrame, width: int, percent: int, often: np.ndarray) -> DataFrame:
-    """doc_id, n_shingles, fp (128-bit hash of the set) and keys of every row."""
+def measured(docs: DataFrame, width: int, percent: int, often: np.ndarray, hot: np.ndarray) -> DataFrame:
+    """doc_id, n_shingles, fp (128-bit hash of the set), hot keys and other keys of every row."""
 
     def run(batches):
         hashes = WordHashes()
         for ids, texts in rows(batches, "doc_id", "text", slice_rows=256):
             found = sets(texts, hashes, width)
             fp = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in found]
-            keys = [keys_of(s, percent, often).view(np.int64) if len(s) else None for s in found]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(s) for s in found], pa.int64()), pa.array(fp, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "fp", "keys"])
+            keys = [keys_of(s, percent, often) if len(s) else np.zeros(0, np.uint64) for s in found]
+            warm = [np.isin(k, hot) for k in keys]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(ids, pa.int64()), pa.array([len(s) for s in found], pa.int64()), pa.array(fp, pa.binary()),
+                    *(pa.array([k[w == x].view(np.int64) for k, w in zip(keys, warm, strict=True)], pa.list_(pa.int64())) for x in (True, False)),
+                ],
+                ["doc_id", "n_shingles", "fp", "hot", "keys"],
+            )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, fp binary, keys array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, fp binary, hot array<long>, keys array<long>")
 
 
 def components(edges: DataFrame, most: int = 60) -> DataFrame:
@@ -171,12 +203,19 @@ def verify(ids: list[int], found: list[np.ndarray], percent: int, sides: list[in
 def join(docs: DataFrame, width: int = 3, percent: int = 90, chunk: int = 512, broadcast_rows: int = 200_000) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``docs``."""
     spark = docs.sparkSession
-    table = scratch.save(measured(docs, width, percent, common(docs, width)), "sets")
+    often = common(docs, width)
+    table = scratch.save(measured(docs, width, percent, often, hot_keys(docs, width, percent, often)), "sets")
     classes = scratch.save(table.where("fp IS NOT NULL AND doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
     # one row stands for its class; rows that repeat its id carry the same keys or harmless more
-    keyed = table.where("fp IS NOT NULL").join(classes, "fp").where("doc_id = rep").select("rep", F.explode("keys").alias("key"))
+    single = table.where("fp IS NOT NULL").join(classes, "fp").where("doc_id = rep")
+    # one shuffle of the keys serves both the aggregation and the join with what it leaves
+    keyed = single.select("rep", F.explode("keys").alias("key")).repartition("key")
     shared = keyed.groupBy("key").agg(F.min("rep").alias("first"), F.max("rep").alias("last")).where("first <> last").select("key", "first")
-    met = keyed.join(shared, "key").where("rep <> first").select(F.col("rep").alias("a"), F.col("first").alias("b"))
+    met = keyed.join(shared.hint("shuffle_hash"), "key")
+    # the hot keys are bounded in number (``hot_keys``), so their first documents can be broadcast
+    warm = single.select("rep", F.explode("hot").alias("key"))
+    met = met.unionByName(warm.join(F.broadcast(warm.groupBy("key").agg(F.min("rep").alias("first"))), "key"))
+    met = met.where("rep <> first").select(F.col("rep").alias("a"), F.col("first").alias("b"))
     groups = scratch.save(components(met), "candidates")
     # a component's place: its members are dealt to chunks of about `chunk` rows, and tasks take pairs of chunks
     sizes = groups.groupBy("root").agg(F.count(F.lit(1)).alias("m"))
