@@ -245,5 +245,7 @@ def test_mixing(spark):
     steps = [np.array([0.5, -0.2, 0.1]), np.array([0.9, 0.0, 0.0])]
     by_hand = [max(0.0, max(0.0, 1 - x @ steps[0]) - x @ steps[1]) for x in p[:50]]
     assert np.allclose(mixing.rates(p[:50], steps), by_hand)
+    again = Counter(r.doc_id for r in mixing.resampled(docs, labels).collect())
+    assert again == Counter({r.doc_id: r.copies for r in got if r.copies}) and max(again.values()) > 1
     nobody = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert mixing.resampled(docs.limit(0), nobody).columns == docs.columns

@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vecloom.llm import scratch
@@ -71,6 +71,14 @@ def classifier(docs: DataFrame, labels: DataFrame, most: int = 4000, steps: int
     return w
 
 
+def shares(texts: list[str | None], hashes: WordHashes, weights: np.ndarray) -> tuple[np.ndarray, list[int]]:
+    """Posteriors and number of words of each text."""
+    got = [features(t, hashes) for t in texts]
+    z = np.array([x for x, _ in got]) @ weights
+    p = np.exp(z - z.max(axis=1, keepdims=True))
+    return p / p.sum(axis=1, keepdims=True), [n for _, n in got]
+
+
 def posteriors(docs: DataFrame, weights: np.ndarray, *carry: str) -> DataFrame:
     """The ``carry`` columns, tokens (words) and p, an array with a probability per domain."""
     kept = docs.select(*carry, "text")
@@ -81,11 +89,8 @@ def posteriors(docs: DataFrame, weights: np.ndarray, *carry: str) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                got = [features(t, hashes) for t in part.column(part.num_columns - 1).to_pylist()]
-                z = np.array([x for x, _ in got]) @ weights
-                p = np.exp(z - z.max(axis=1, keepdims=True))
-                p /= p.sum(axis=1, keepdims=True)
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array([n for _, n in got], pa.int64()), pa.array(list(p), pa.list_(pa.float64()))], [*carry, "tokens", "p"])
+                p, n = shares(part.column(part.num_columns - 1).to_pylist(), hashes, weights)
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(n, pa.int64()), pa.array(list(p), pa.list_(pa.float64()))], [*carry, "tokens", "p"])
 
     return kept.mapInArrow(run, schema)
 
@@ -141,13 +146,18 @@ def mix(docs: DataFrame, labels: DataFrame, weights: tuple[float, ...] = (0.9, 0
     return rated(table, steps)
 
 
+def chance(key: Column) -> Column:
+    """A number in [0, 1) for each id."""
+    return F.pmod(F.xxhash64(F.lit("mix"), key), F.lit(1 << 32)) / float(1 << 32)
+
+
 def rated(table: DataFrame, steps: list[np.ndarray]) -> DataFrame:
     @F.pandas_udf("double")
     def rate(p):
         return __import__("pandas").Series(np.round(rates(np.array(p.tolist(), float).reshape(len(p), -1), steps), 6))
 
-    chance = F.pmod(F.xxhash64(F.lit("mix"), "doc_id"), F.lit(1 << 32)) / float(1 << 32)
-    return table.withColumn("rate", rate("p")).withColumn("copies", (F.floor("rate") + (chance < F.col("rate") - F.floor("rate")).cast("long")).cast("long"))
+    more = (chance(F.col("doc_id")) < F.col("rate") - F.floor("rate")).cast("long")
+    return table.withColumn("rate", rate("p")).withColumn("copies", (F.floor("rate") + more).cast("long"))
 
 
 def resampled(docs: DataFrame, labels: DataFrame, weights: tuple[float, ...] = (0.9, 0.08, 0.02), grow: float = 1.05) -> DataFrame:
@@ -155,9 +165,23 @@ def resampled(docs: DataFrame, labels: DataFrame, weights: tuple[float, ...] = (
     model = classifier(docs, labels)
     table = scratch.save(posteriors(docs, model, "doc_id"), "posteriors")
     steps = fit(table, list(weights), grow=grow)
-    again = rated(posteriors(docs.withColumn("_text", F.col("text")), model, *(c if c != "text" else "_text" for c in docs.columns)), steps)
-    again = again.where(F.col("copies") > 0).withColumn("_", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
-    return again.select(*(F.col("_text").alias("text") if c == "text" else F.col(c) for c in docs.columns))
+    columns = docs.columns
+    at = columns.index("text")
+
+    def run(batches):
+        hashes = WordHashes()
+        for batch in batches:
+            for start in range(0, batch.num_rows, 128):
+                part = batch.slice(start, 128)
+                p, _ = shares(part.column(at).to_pylist(), hashes, model)
+                rate = np.round(rates(p, steps), 6)
+                copies = np.floor(rate) + (np.asarray(part.column(part.num_columns - 1)) < rate - np.floor(rate))
+                again = np.repeat(np.arange(part.num_rows), copies.astype(np.int64))
+                for k in range(0, len(again), 32):
+                    yield pa.RecordBatch.from_arrays([c.take(pa.array(again[k : k + 32])) for c in part.columns[:-1]], columns)
+
+    last = "_" * (max(map(len, columns)) + 1)  # a name that no column has
+    return docs.select("*", chance(F.col("doc_id")).alias(last)).mapInArrow(run, docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
