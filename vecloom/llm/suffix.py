@@ -221,7 +221,8 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, largest: int
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(cat[0].astype(np.int64)), pa.array(cat[1].astype(np.uint64).view(np.int64))], ["doc_id", "th", "p", "fp"])
 
     found = scratch.save(docs.mapInArrow(first, "doc_id long, th long, p long, fp long"), "anchors")
-    again = found.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("fp")
+    # a table, so that the join below has plain exchanges on both sides, of which adaptive execution splits a hot anchor's
+    again = scratch.save(found.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("fp"), "again")
     # rows with one id and one text share a list: its positions are sets
     places = found.join(again, "fp").groupBy("doc_id", "th").agg(F.sort_array(F.collect_set("p")).alias("ps"))
 
