@@ -9,7 +9,8 @@ of the key, so one hot host spreads over many ranges, and sorting spills.
 ``judge`` defines: host = what stands after the first ``://`` up to ``/ ? #`` or the end, A-Z lower-cased; path = from
 there up to ``? #`` or the end; a null url or one without ``://`` has neither.  The fitting rule with the longest
 host + path wins, then the one with the longer host, then block before allow.  Repeated rows are judged each on its own;
-an empty rule table gives everything the default; rules with null host or path are ignored, a null verdict is "block".
+an empty rule table gives everything the default; a rule with an empty host fits every host, so it goes to all ranges;
+rules with null host or path are ignored, a null verdict is "block".
 """
 
 from __future__ import annotations
@@ -104,7 +105,7 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", ranges: in
         .select(F.translate("host", UPPER, LOWER).alias("host"), "path", F.coalesce("verdict", F.lit("block")).alias("verdict"))
         .select(reversed_key(F.col("host")).alias("key"), "path", F.concat("host", "path").alias("text"), "verdict")
         .withColumn("first", bucket("key"))
-        .withColumn("last", bucket(F.concat(F.expr("substring(key, 1, length(key) - 1)"), F.lit("/"))))
+        .withColumn("last", F.when(F.col("key") == "", F.lit(len(cuts))).otherwise(bucket(F.concat(F.expr("substring(key, 1, length(key) - 1)"), F.lit("/")))))
         .withColumn("bucket", F.explode(F.sequence("first", "last")))
     )
     nothing = F.lit(None).cast("string")
