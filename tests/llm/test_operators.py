@@ -112,6 +112,15 @@ def test_line_dedup_exact_near_threshold(docs):
         assert gone == (13 if sites <= 14 else 0)
 
 
+def test_line_dedup_of_long_lines(spark):
+    rng = random.Random(8)
+    notice = words(rng, 300)
+    docs = spark.createDataFrame([(k, f"{words(rng, 40)}\n{notice}\nend {k}", "en", f"s{k}", 7) for k in range(12)], DOCS)
+    rows = {r.doc_id: r for r in lines.remove(docs).collect()}
+    assert len(notice) > 1000 and [k for k, r in rows.items() if notice in r.text] == [0]
+    assert [rows[k].n_removed for k in range(12)] == [0] + [1] * 11
+
+
 def measured_by_force(text):
     w = (text or "").encode().split()
     tri = Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))

@@ -5,10 +5,9 @@ collected in a HyperLogLog sketch that merges by aggregation, so a line that a t
 before it is shuffled.  A sketch is sure far from the threshold; lines near it get an exact distinct count.  The
 removed positions of each document come back as one short array, and the text is put together from the slices between.
 
-A line is compared without spaces, tabs and returns at its ends.  Blank lines are never removed, nor are lines of more
-than ``longest`` characters: those are passages of a copied document, which near-duplicate removal deals with.  The
-first occurrence (smallest doc_id, then position) of a removed line stays.  Null sources count as one site; null texts
-stay null and have no lines; repeated rows lose the same lines; other columns pass through.
+A line is compared without spaces, tabs and returns at its ends, and may be of any length.  Blank lines are never
+removed.  The first occurrence (smallest doc_id, then position) of a removed line stays.  Null sources count as one site;
+null texts stay null and have no lines; repeated rows lose the same lines; other columns pass through.
 """
 
 from __future__ import annotations
@@ -22,10 +21,10 @@ from vecloom.llm import scratch
 LOG_REGISTERS, NEAR = 12, 0.1
 
 
-def line_table(docs: DataFrame, site: str, longest: int) -> DataFrame:
+def line_table(docs: DataFrame, site: str) -> DataFrame:
     """doc_id, k (hash of the text), site, pos, a, b: a row per line that can be boilerplate."""
     clean = F.transform(F.split("text", "\n", -1), lambda x: F.btrim(x, F.lit(" \t\r")))
-    hashed = F.transform(clean, lambda x: F.when((x != "") & (F.char_length(x) <= longest), F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit(1), x).alias("b"))))
+    hashed = F.transform(clean, lambda x: F.when(x != "", F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit(1), x).alias("b"))))
     rows = docs.select("doc_id", F.xxhash64("text").alias("k"), F.coalesce(F.col(site).cast("string"), F.lit("")).alias("site"), F.posexplode(hashed).alias("pos", "h"))
     return rows.where(F.col("h").isNotNull()).select("doc_id", "k", "site", "pos", "h.a", "h.b")
 
@@ -45,9 +44,9 @@ def boilerplate(lines: DataFrame, min_sites: int) -> DataFrame:
     return told.where(sure).select("a", "b", "first").unionByName(near.join(enough.select("a", "b"), ["a", "b"]).select("a", "b", "first"))
 
 
-def remove(docs: DataFrame, site: str = "source", min_sites: int = 10, longest: int = 256) -> DataFrame:
+def remove(docs: DataFrame, site: str = "source", min_sites: int = 10) -> DataFrame:
     """``docs`` with ``text`` cleaned, and n_lines (before) and n_removed."""
-    lines = scratch.save(line_table(docs, site, longest), "lines")
+    lines = scratch.save(line_table(docs, site), "lines")
     bad = scratch.save(boilerplate(lines, min_sites), "boilerplate")
     stays = (F.col("first.doc_id").eqNullSafe(F.col("doc_id"))) & (F.col("first.k") == F.col("k")) & (F.col("first.pos") == F.col("pos"))
     hits = lines.join(bad, ["a", "b"]).where(~stays)
