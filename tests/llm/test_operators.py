@@ -219,6 +219,15 @@ def test_html():
     assert html.main_text("plain  text") == "plain text"
 
 
+def test_html_rules_hold_beside_and_inside_an_article():
+    dense = "It is the story of the man that was in the house of the king and it is for you to say that he was at the end of it all with you"
+    beside = f"<article><p>A teaser.</p></article><div><p>{dense}</p><p>{dense}</p></div>"
+    assert html.main_text(beside) == f"A teaser.\n{dense}\n{dense}"
+    links = "<ul><li><a href=a>one more link to some other page</a></li><li><a href=b>and a link to yet another page</a></li></ul>"
+    assert html.main_text(f"<nav>Home</nav><article><h1>Head</h1><p>{dense}</p>{links}<p>Wörter ohne Funktion</p></article>") == f"Head\n{dense}\nWörter ohne Funktion"
+    assert html.main_text(f"<article>{links}<p>More</p>{links}</article><div><p>{dense}</p></div>") == dense
+
+
 def test_urls(spark):
     given = [(1, "http://Net/es/a"), (2, "https://a.net/fr/?q"), (3, "http://example.com/en/x#y"), (4, "x://www.example.com/en/"), (5, "https://a.www.example.com/de"), (6, None), (7, "no scheme"), (8, "http://example.org/"), (9, "http://com"), (9, "http://com/"), (10, "http://xcom/")]
     pages = spark.createDataFrame([(*g, "z") for g in given], "page_id long, url string, rule string")

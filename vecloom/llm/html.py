@@ -1,9 +1,10 @@
 """Main-text extraction by two passes of block rules.
 
 The markup is cut into blocks.  Pass one decides blocks: what stands in a navigation, header, footer, sidebar, form,
-notice, advert or comment container goes; what stands in the page's article container stays; elsewhere stop-word
-density, length and link density decide, and short blocks are left open.  Pass two gives each open block the label of
-its nearest decided neighbours (both must agree, or the nearer one counts; ties keep the block).
+notice, advert or comment container goes; everywhere else stop-word density, length and link density decide, and short
+blocks are left open.  An article container asks for less density and leaves open what elsewhere would go.  Pass two gives
+each open block the label of its nearest decided neighbours (both must agree, or the nearer one counts; ties keep the
+block); in an article container an open block goes only between two that go by these rules, whatever poor containers hold.
 
 A block is the text between two block-level tags; ``<br>`` is white space inside a block.  Character references are
 decoded, white space becomes one space, and kept blocks are joined by a newline.  A null or empty page gives the empty
@@ -121,34 +122,40 @@ def blocks(page: str) -> list[tuple[str, str, int]]:
 def main_text(page: str | None, short: int = 60, long: int = 140, low: float = 0.15, high: float = 0.25, link: float = 0.4) -> str:
     """The page's main text. Lengths are in characters, densities are shares of words or characters."""
     found = blocks(page or "")
-    rich = any(z == "rich" for _, z, _ in found)
     labels: list[bool | None] = []
     for text, zone, linked in found:
-        if zone != "none" or rich:
-            labels.append(zone == "rich")
+        if zone == "poor":
+            labels.append(False)
             continue
+        rich = zone == "rich"
         words = text.lower().encode("utf-8", "surrogatepass").split()
         dense = sum(w.strip(b".,;:!?") in FUNCTION_WORDS for w in words) / len(words)
         if linked > link * len(text):
             labels.append(False)
         elif len(text) < short:
             labels.append(None)
-        elif dense >= high or len(text) >= long and dense >= low:
+        elif dense >= (low if rich else high) or len(text) >= long and dense >= low:
             labels.append(True)
         else:
-            labels.append(None if len(text) >= long or dense >= low else False)
+            labels.append(None if rich or len(text) >= long or dense >= low else False)
     if found and not any(x is not None for x in labels):
         labels = [True] * len(found)  # nothing but open blocks: the page is its text
     before: list[tuple[int, bool] | None] = []
-    last = None
+    inner: list[bool | None] = []  # the last label that is not of a poor container
+    last, near = None, None
     for k, x in enumerate(labels):
         last = (k, x) if x is not None else last
+        near = x if x is not None and found[k][1] != "poor" else near
         before.append(last)
-    kept, last = [], None
+        inner.append(near)
+    kept, last, near = [], None, None
     for k in range(len(labels) - 1, -1, -1):
         if labels[k] is not None:
             last = (k, labels[k])
+            near = labels[k] if found[k][1] != "poor" else near
             keep = labels[k]
+        elif found[k][1] == "rich":
+            keep = not (inner[k] is False and near is False)
         else:
             p, n = before[k], last
             keep = n[1] if p is None else p[1] if n is None else p[1] if p[1] == n[1] else p[1] if k - p[0] < n[0] - k else n[1] if n[0] - k < k - p[0] else True
