@@ -253,6 +253,19 @@ def test_topk(spark):
     assert topk.search(table.limit(0), queries.limit(0)).count() == 0
 
 
+def test_topk_of_repeated_ids(spark):
+    duckdb = pytest.importorskip("duckdb")
+    rng = np.random.default_rng(4)
+    rows = [(k, rng.standard_normal(8).astype(np.float32).tolist()) for k in [*range(201), 100, 100, *[7] * 4]]
+    rows += [(9, [3.0] * 8)] * 4 + [(11, [-3.0] * 8)] * 4
+    given = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    table = topk.integers(given)
+    got = sorted(tuple(r) for r in topk.search(table, table.where("vec_id % 100 = 0"), block=2).collect())
+    base = duckdb.connect()
+    base.register("embeddings", given.toArrow())
+    assert got == sorted(base.execute(topk.ORACLE).fetchall()) and len(got) == 30
+
+
 def test_mixing(spark):
     docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
     got = mixing.mix(docs, labels).collect()

@@ -9,8 +9,8 @@ integers; bounds are doubles widened by more than their rounding.
 Queries are taken in blocks of ``block`` vectors, so a task holds one block and a slice of cells whatever the size.
 
 Edge cases: vectors that are null, hold a null or non-finite component, or differ in length from the table's longest
-usable vector take no part; equal scores go to the smaller id; repeated ids are separate candidates; fewer candidates
-than k give fewer rows.
+usable vector take no part; equal scores go to the smaller id; rows with a repeated id are separate candidates, but none
+of a query with that id; queries with one id share its ranks; fewer candidates than k give fewer rows.
 """
 
 from __future__ import annotations
@@ -38,7 +38,7 @@ def integers(vectors: DataFrame, key: str = "vec_id", column: str = "embedding")
 
 
 def build(table: DataFrame) -> tuple[DataFrame, np.ndarray, np.ndarray]:
-    """The approximation file (vec_id, cells binary), the least value and the cell width of each dimension."""
+    """The approximation file (row, vec_id, cells binary, v), the least value and the cell width of each dimension."""
     dim = table.agg(F.max(F.size("v"))).first()[0] or 0
     table = table.where(F.size("v") == dim)
     ends = table.select(*(f(F.col("v")[j]).alias(f"{n}{j}") for n, f in (("a", F.min), ("b", F.max)) for j in range(dim))).first() if dim else []
@@ -49,53 +49,51 @@ def build(table: DataFrame) -> tuple[DataFrame, np.ndarray, np.ndarray]:
 
     def cells(batches):
         for batch in batches:
-            v = np.asarray(batch.column(1).flatten(), np.int64).reshape(batch.num_rows, -1)
+            v = np.asarray(batch.column(2).flatten(), np.int64).reshape(batch.num_rows, -1)
             code = ((v - low) // width).astype(np.uint8)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in code], pa.binary())], ["vec_id", "cells"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([r.tobytes() for r in code], pa.binary()), batch.column(2)], ["row", "vec_id", "cells", "v"])
 
-    return table.select("vec_id", "v").mapInArrow(cells, "vec_id long, cells binary"), low, width
+    return table.select(F.monotonically_increasing_id().alias("row"), "vec_id", "v").mapInArrow(cells, "row long, vec_id long, cells binary, v array<int>"), low, width
 
 
-def search(table: DataFrame, queries: DataFrame, k: int = 10, block: int = 4096, store: bool = True) -> DataFrame:
+def search(table: DataFrame, queries: DataFrame, k: int = 10, block: int = 4096) -> DataFrame:
     """query_id, rank, vec_id, score. ``table``, ``queries``: vec_id, v array<int> as ``integers`` makes them."""
     spark = table.sparkSession
-    approx, low, width = build(table)
+    stored, low, width = build(table)
     dim = len(low)
     out = "query_id long, rank int, vec_id long, score long"
     if dim == 0:
         return spark.createDataFrame([], out)
-    if store:
-        approx = scratch.save(approx, "cells")
-    queries = queries.where(F.size("v") == dim)
+    stored = scratch.save(stored, "cells")  # the row ids hold in the stored tables only
+    queries = scratch.save(queries.where(F.size("v") == dim).select(F.monotonically_increasing_id().alias("query_row"), "vec_id", F.col("v").alias("q")), "queries")
     n = queries.count()
     blocks = max(1, -(-n // block))
-    queries = queries.withColumn("b", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)))
+    queries = queries.withColumn("b", F.pmod(F.xxhash64("query_row"), F.lit(blocks)))
     found = None
     for b in range(blocks):  # a block is a bounded number of query vectors
-        some = queries.where(F.col("b") == b).select("vec_id", "v").toPandas()
-        ids, q = some["vec_id"].to_numpy(np.int64), np.array(some["v"].tolist(), np.float64).reshape(-1, dim)
-        one = approx.mapInArrow(bounds(ids, q, low, width, k), "query_id long, vec_id long, most double, least double")
+        some = queries.where(F.col("b") == b).select("query_row", "vec_id", "q").toPandas()
+        at, ids, q = some["query_row"].to_numpy(np.int64), some["vec_id"].to_numpy(np.int64), np.array(some["q"].tolist(), np.float64).reshape(-1, dim)
+        one = stored.select("row", "vec_id", "cells").mapInArrow(bounds(at, ids, q, low, width, k), "query_row long, query_id long, row long, vec_id long, most double, least double")
         found = one if found is None else found.unionByName(one)
     # the k-th best lower bound over all tasks; at most k + (rows tied in bound) per task and query get here
     w = Window.partitionBy("query_id").orderBy(F.desc("least"), "vec_id")
     level = found.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).groupBy("query_id").agg(F.min("least").alias("level"), F.count("*").alias("n"))
-    left = found.join(level, "query_id").where((F.col("n") < k) | (F.col("most") >= F.col("level"))).select("query_id", "vec_id", "most")
-    exact = left.join(table, "vec_id").join(queries.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "query_id")
+    left = found.join(level, "query_id").where((F.col("n") < k) | (F.col("most") >= F.col("level"))).select("query_id", "query_row", "row", "vec_id", "most")
+    exact = left.join(stored.select("row", "v"), "row").join(queries.select("query_row", "q"), "query_row")
 
     def visit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["most", "vec_id"], ascending=[False, True], kind="stable")
         best: list[tuple[int, int]] = []
-        q = np.array(pdf["q"].iloc[0], np.int64)
-        for most, vec, v in zip(pdf["most"], pdf["vec_id"], pdf["v"], strict=True):
+        for most, vec, v, q in zip(pdf["most"], pdf["vec_id"], pdf["v"], pdf["q"], strict=True):
             if len(best) == k and most < -best[-1][0]:
                 break  # no later row can reach the k-th score
-            best = sorted([*best, (-int(q @ np.array(v, np.int64)), int(vec))])[:k]
+            best = sorted([*best, (-int(np.array(q, np.int64) @ np.array(v, np.int64)), int(vec))])[:k]
         return pd.DataFrame({"query_id": int(pdf["query_id"].iloc[0]), "rank": range(1, len(best) + 1), "vec_id": [v for _, v in best], "score": [-s for s, _ in best]})
 
     return exact.groupBy("query_id").applyInPandas(visit, out)
 
 
-def bounds(ids: np.ndarray, q: np.ndarray, low: np.ndarray, width: np.ndarray, k: int):
+def bounds(query_rows: np.ndarray, ids: np.ndarray, q: np.ndarray, low: np.ndarray, width: np.ndarray, k: int):
     """Scan cells: upper and lower bound of every score, keeping what can be among a query's best k of this task."""
     scaled = (q * width).T.copy()
     shift = q @ low.astype(float)
@@ -106,23 +104,23 @@ def bounds(ids: np.ndarray, q: np.ndarray, low: np.ndarray, width: np.ndarray, k
 
     def thin(kept):
         """Of all rows kept so far, those that can still be among the best k of their query."""
-        i, vec, most, least = kept
+        i, row, vec, most, least = kept
         order = np.lexsort((-least, i))
-        i, vec, most, least = i[order], vec[order], most[order], least[order]
+        i, row, vec, most, least = i[order], row[order], vec[order], most[order], least[order]
         start = np.searchsorted(i, np.arange(len(ids)))
         at = start + k - 1
         full = (at < len(i)) & (np.take(i, np.minimum(at, len(i) - 1)) == np.arange(len(ids))) if len(i) else np.zeros(len(ids), bool)
         level = np.where(full, np.take(least, np.minimum(at, max(len(i) - 1, 0))) if len(i) else 0, -np.inf)
         hit = most >= level[i]
-        return i[hit], vec[hit], most[hit], least[hit]
+        return i[hit], row[hit], vec[hit], most[hit], least[hit]
 
     def run(batches):
-        kept = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0))
+        kept = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0))
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
                 part = batch.slice(at, 2048)
-                vec = np.asarray(part.column(0), np.int64)
-                cell = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(len(vec), -1).astype(float)
+                row, vec = np.asarray(part.column(0), np.int64), np.asarray(part.column(1), np.int64)
+                cell = np.frombuffer(b"".join(part.column(2).to_pylist()), np.uint8).reshape(len(vec), -1).astype(float)
                 new = []
                 for a in range(0, len(ids), 256):  # bounds the score matrix
                     s = (cell @ scaled[:, a : a + 256]).T
@@ -131,10 +129,10 @@ def bounds(ids: np.ndarray, q: np.ndarray, low: np.ndarray, width: np.ndarray, k
                     most = s + (up + margin)[a : a + 256, None]
                     level = np.partition(least, len(vec) - k, axis=1)[:, len(vec) - k, None] if len(vec) > k else -np.inf
                     i, j = np.nonzero((most >= level) & ~own)
-                    new.append((i + a, vec[j], most[i, j], least[i, j]))
+                    new.append((i + a, row[j], vec[j], most[i, j], least[i, j]))
                 kept = thin(tuple(np.concatenate(x) for x in zip(kept, *new, strict=True)))
-        i, vec, most, least = kept
-        yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(vec), pa.array(most), pa.array(least)], ["query_id", "vec_id", "most", "least"])
+        i, row, vec, most, least = kept
+        yield pa.RecordBatch.from_arrays([pa.array(query_rows[i]), pa.array(ids[i]), pa.array(row), pa.array(vec), pa.array(most), pa.array(least)], ["query_row", "query_id", "row", "vec_id", "most", "least"])
 
     return run
 
