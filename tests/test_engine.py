@@ -129,6 +129,22 @@ def test_recall(spark, kind, least):
     assert len(got & want) / 10 >= least
 
 
+@pytest.mark.parametrize(("kind", "function"), [("pq", "euclidean"), ("ivfpq", "euclidean"), ("lsh", "cosine")])
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_recall_on_embeddings(spark, kind, function, sf):
+    df = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet").select("vec_id", "embedding")
+    index = kinds.build(df, kind, "i", "embedding")
+    index.table = index.table.cache()
+    x = np.array([r.embedding for r in df.orderBy("vec_id").limit(200).collect()], float)
+    found = []
+    for q in [suite.POINT, *x[::50].tolist()]:
+        near = lambda t: {r.vec_id for r in t.withColumn("d", V.lookup(function)("embedding", q)).orderBy("d", "vec_id").limit(10).collect()}  # noqa: B023, E731
+        found.append(len(near(index.candidates(df, q, function, 10)) & near(df)) / 10)
+    index.table.unpersist()
+    print(kind, sf, found[0], np.mean(found[1:]))
+    assert found[0] >= 0.9 and np.mean(found[1:]) >= 0.9
+
+
 def test_edges(spark):
     df = spark.createDataFrame([(1, [0.0, 0.0], None), (2, [1.0, 1.0], 5)], "id int, v array<double>, x int")
     assert math.isnan(df.select(V.cosine("v", [1.0, 0.0])).first()[0]) and math.isnan(df.select(V.chisquared("v", [0.0, 0.0])).first()[0])
