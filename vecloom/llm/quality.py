@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecloom.llm import gbt
+from vecloom.llm import gbt, scratch
 from vecloom.llm.text import SPACES, rows
 
 SYMBOLS = b"#*$%&|<>"
@@ -108,11 +108,8 @@ def statistics(docs: DataFrame) -> DataFrame:
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = 8000) -> gbt.Forest:
     """Train on at most ``most`` labelled documents; quality 1 is the class to keep."""
-    picked = (
-        labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull())
-        .groupBy("doc_id").agg(F.max("quality").alias("quality"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    )
+    usable = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull())
+    picked = scratch.fewest(usable.groupBy("doc_id").agg(F.max("quality").alias("quality")), "doc_id", most)
     # the sample is bounded by `most` rows, so broadcasting it is bounded too
     got = statistics(docs.select("doc_id", "text").join(F.broadcast(picked.select("doc_id")), "doc_id", "left_semi"))
     table = got.join(F.broadcast(picked), "doc_id").select("doc_id", "features", "quality").toPandas()

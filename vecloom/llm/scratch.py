@@ -1,20 +1,22 @@
 """Intermediate tables in the folder that driver and executors share.
 
-``spark.checkpoint.dir`` names that folder on a cluster; only where it is unset (tests, a laptop) is a
-temporary one made.  Tables are Parquet, so that losing an executor never loses an intermediate result.
+``spark.checkpoint.dir`` names that folder on a cluster; only where it is unset and the master is local (tests, a
+laptop) is a temporary one made.  Tables are Parquet, so that losing an executor never loses an intermediate result.
 """
 
 from __future__ import annotations
 
 import contextlib
+import contextvars
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-#: Paths of the tables written since ``owned`` was last entered.
-_owned: list[str] | None = None
+#: Paths of the tables written since ``owned`` was last entered in this thread.
+_owned: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("owned", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -24,6 +26,8 @@ def shared_dir(spark: SparkSession) -> str:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = current.get() if current.isDefined() else None
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="vecloom-")
         spark.sparkContext.setCheckpointDir(found)
         found = spark.sparkContext._jsc.sc().getCheckpointDir().get()
@@ -35,11 +39,18 @@ def save(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/vecloom/{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    if _owned is not None:
-        _owned.append(path)
+    if (paths := _owned.get()) is not None:
+        paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fewest(df: DataFrame, key: str, most: int) -> DataFrame:
+    """The ``most`` rows with the smallest hashes of ``key`` (unique in ``df``); few more than those reach the one task that picks."""
+    share = min(1.0, 4 * most / max(1, df.count()))
+    h = F.pmod(F.xxhash64(key), F.lit(1 << 32))
+    return df.where(h < int(share * (1 << 32))).orderBy(h, key).limit(most)
+
+
 def delete(spark: SparkSession, paths: list[str]) -> None:
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     for name in paths:
@@ -50,9 +61,8 @@ def delete(spark: SparkSession, paths: list[str]) -> None:
 @contextlib.contextmanager
 def owned(paths: list[str]) -> Iterator[None]:
     """Tables saved inside are added to ``paths``, so that the caller can delete them when they are used up."""
-    global _owned
-    before, _owned = _owned, paths
+    before = _owned.set(paths)
     try:
         yield
     finally:
-        _owned = before
+        _owned.reset(before)
