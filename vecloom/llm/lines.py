@@ -6,8 +6,11 @@ before it is shuffled.  A sketch is sure far from the threshold; lines near it g
 removed positions of each document come back as one short array, and the text is put together from the slices between.
 
 A line is compared without spaces, tabs and returns at its ends, and may be of any length.  Blank lines are never
-removed.  The first occurrence (smallest doc_id, then position) of a removed line stays.  Null sources count as one site;
-null texts stay null and have no lines; repeated rows lose the same lines; other columns pass through.
+removed.  The first occurrence (smallest doc_id, then position) of a removed line stays; of rows that share an id and
+differ, the one whose text has the smaller hash comes first.  Null sources count as one site, the same as the empty
+one; null texts stay null and have no lines; a null doc_id is an id like others, before all; repeated rows lose the same
+lines; an empty table gives no rows.  Other columns pass through, whatever their names, but those named in ``counts``,
+which give way to the operator's own.
 """
 
 from __future__ import annotations
@@ -44,22 +47,24 @@ def boilerplate(lines: DataFrame, min_sites: int) -> DataFrame:
     return told.where(sure).select("a", "b", "first").unionByName(near.join(enough.select("a", "b"), ["a", "b"]).select("a", "b", "first"))
 
 
-def remove(docs: DataFrame, site: str = "source", min_sites: int = 10) -> DataFrame:
-    """``docs`` with ``text`` cleaned, and n_lines (before) and n_removed."""
+def remove(docs: DataFrame, site: str = "source", min_sites: int = 10, counts: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
+    """``docs`` with ``text`` cleaned, and under the names ``counts`` the lines that it had and those removed."""
     lines = scratch.save(line_table(docs, site), "lines")
     bad = scratch.save(boilerplate(lines, min_sites), "boilerplate")
     stays = (F.col("first.doc_id").eqNullSafe(F.col("doc_id"))) & (F.col("first.k") == F.col("k")) & (F.col("first.pos") == F.col("pos"))
     hits = lines.join(bad, ["a", "b"]).where(~stays)
-    cut = hits.groupBy("doc_id", "k").agg(F.array_sort(F.collect_set("pos")).alias("cut")).select(F.col("doc_id").alias("cut_id"), F.col("k").alias("cut_k"), "cut")
-    own = [F.col(c) for c in docs.columns]
-    joined = docs.join(cut, docs["doc_id"].eqNullSafe(F.col("cut_id")) & (F.xxhash64(docs["text"]) == F.col("cut_k")), "left").select(*own, "cut")
-    parts = F.split("text", "\n", -1)
+    cuts = hits.groupBy("doc_id", "k").agg(F.array_sort(F.collect_set("pos")).alias("cut"))
+    # the two sides are told apart by struct, so that no column name of the input can clash
+    left = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "doc_id", F.xxhash64("text").alias("k")).alias("l")
+    joined = left.join(cuts.alias("r"), F.col("l.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("l.k") == F.col("r.k")), "left").select("row", "cut")
+    parts = F.split("row.text", "\n", -1)
     marks = F.concat(F.array(F.lit(-1)), F.col("cut"), F.array(F.size(parts)))
     kept = F.flatten(F.transform(F.sequence(F.lit(1), F.size(marks) - 1), lambda i: F.slice(parts, F.element_at(marks, i) + 2, F.element_at(marks, i + 1) - F.element_at(marks, i) - 1)))
-    text = F.when(F.col("cut").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    n_lines = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(parts)).cast("long")
+    text = F.when(F.col("cut").isNull(), F.col("row.text")).otherwise(F.array_join(kept, "\n"))
+    n_lines = F.when(F.col("row.text").isNull(), F.lit(0)).otherwise(F.size(parts)).cast("long")
     n_removed = F.when(F.col("cut").isNull(), F.lit(0)).otherwise(F.size("cut")).cast("long")
-    return joined.select(*(text.alias("text") if c == "text" else F.col(c) for c in docs.columns), n_lines.alias("n_lines"), n_removed.alias("n_removed"))
+    own = [c for c in docs.columns if c.lower() not in {x.lower() for x in counts}]
+    return joined.select(*(text.alias("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in own), n_lines.alias(counts[0]), n_removed.alias(counts[1]))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,7 +76,7 @@ ORACLE = """
 WITH parts AS (SELECT doc_id, source, text, CASE WHEN text IS NULL THEN [] ELSE string_split(text, chr(10)) END AS p FROM documents),
 l AS (SELECT doc_id, source, unnest(p) AS raw, unnest(range(len(p))) AS pos FROM parts),
 c AS (SELECT doc_id, coalesce(source, '') AS source, raw, pos, trim(raw, ' ' || chr(9) || chr(13)) AS line FROM l),
-spread AS (SELECT line, min({'d': doc_id, 'p': pos}) AS first FROM c WHERE line <> '' AND length(line) <= 256
+spread AS (SELECT line, min({'d': doc_id, 'p': pos}) AS first FROM c WHERE line <> ''
            GROUP BY line HAVING count(DISTINCT source) >= 10),
 m AS (SELECT c.doc_id, c.pos, c.raw, s.line IS NOT NULL AND NOT (s.first.d = c.doc_id AND s.first.p = c.pos) AS cut
       FROM c LEFT JOIN spread s ON c.line = s.line),
