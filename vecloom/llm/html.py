@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -26,7 +27,8 @@ from vecloom.llm.text import rows
 #: HTML element names and container names by role (fixed values).
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option optgroup p pre section summary table tbody td tfoot th thead title tr ul head".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title svg math iframe object select button head canvas audio video".split())
+RAW = frozenset("script style noscript template textarea title iframe".split())
+WHOLE = frozenset("svg math object select button head canvas audio video".split())
 POOR = frozenset("nav header footer aside form menu dialog".split())
 RICH = frozenset("article main".split())
 POOR_NAME = re.compile(
@@ -36,19 +38,58 @@ POOR_NAME = re.compile(
 )
 RICH_NAME = re.compile(r"(?:^|[\s_-])(?:article|main|main-content|content|post|post-body|entry|entry-content|story|body-text)(?:$|[\s_-])", re.IGNORECASE)
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.DOTALL)
+TOKEN = re.compile(r"<!--|<[!?]|<(/?)([a-zA-Z][^\s/>]*)")
+STOP = re.compile(r"[>\"']")
 NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
 HIDDEN = re.compile(r"\bhidden\b(?!\s*=)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.IGNORECASE)
 #: A start tag of the first kind closes an open element of the second (HTML's implied end tags; fixed values).
 IMPLIED = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}}
 
 
+class Scanner:
+    """Places in a page. What is not found behind one place is not sought again, so a page is read a bounded number of times."""
+
+    def __init__(self, page: str):
+        self.page, self.missing = page, set()
+
+    def find(self, what: str, at: int) -> int:
+        found = -1 if what in self.missing else self.page.find(what, at)
+        if found < 0:
+            self.missing.add(what)
+        return found
+
+    def tag_end(self, at: int) -> int:
+        """The place of the ``>`` that ends the tag whose attributes begin at ``at``; a quote counts behind ``=`` only."""
+        begin = at
+        while m := STOP.search(self.page, at):
+            at = m.end()
+            if m[0] == ">":
+                return m.start()
+            k = m.start() - 1
+            while k >= begin and self.page[k].isspace():
+                k -= 1
+            if k >= begin and self.page[k] == "=" and (end := self.find(m[0], at)) >= 0:
+                at = begin = end + 1
+        return len(self.page)
+
+    def close(self, name: str, at: int) -> int:
+        """The place behind the end tag ``name``, or -1."""
+        if name in self.missing:
+            return -1
+        m = re.compile(rf"</{re.escape(name)}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.IGNORECASE).search(self.page, at)
+        if not m:
+            self.missing.add(name)
+            return -1
+        return m.end()
+
+
 def blocks(page: str) -> list[tuple[str, str, int]]:
     """(text, zone, linked characters) of each block in page order; zone is poor, rich or none."""
     out: list[tuple[str, str, int]] = []
-    stack: list[tuple[str, str]] = []
+    stack: list[tuple[str, str]] = []  # the open block-level elements
+    opened: Counter[str] = Counter()
     parts: list[str] = []
-    linked, links, at, zone = 0, 0, 0, "none"
+    linked, links, at, zone, scan = 0, 0, 0, "none", Scanner(page)
 
     def flush() -> None:
         nonlocal linked
@@ -66,6 +107,11 @@ def blocks(page: str) -> list[tuple[str, str, int]]:
             if links:
                 linked += len(" ".join(html.unescape(piece).split()))
 
+    def pop() -> str:
+        name = stack.pop()[0]
+        opened[name] -= 1
+        return name
+
     while at < len(page):
         m = TOKEN.search(page, at)
         if not m:
@@ -74,47 +120,50 @@ def blocks(page: str) -> list[tuple[str, str, int]]:
         add(page[at : m.start()])
         at = m.end()
         if m[2] is None:
+            end = scan.find("-->" if m[0] == "<!--" else ">", at)
+            at = len(page) if end < 0 else end + (3 if m[0] == "<!--" else 1)
             continue
-        name = m[2].lower()
+        name, end = m[2].lower(), scan.tag_end(at)
+        told, at = page[at:end], end + 1
         if m[1]:  # an end tag
             if name == "a":
                 links = max(0, links - 1)
             if name in BLOCK:
                 flush()
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    del stack[k:]
-                    break
-            zone = stack[-1][1] if stack else "none"
+                while opened[name] and pop() != name:
+                    pass
+                zone = stack[-1][1] if stack else "none"
             continue
-        if name in RAW and not m[3].endswith("/"):
-            close = re.compile(rf"</{re.escape(name)}\s*>", re.IGNORECASE).search(page, at)
-            if name != "head" or close:
-                at = close.end() if close else len(page)
+        alone = told.endswith("/")
+        if (name in RAW or name in WHOLE) and not alone:
+            close = scan.close(name, at)
+            if close >= 0 or name in RAW:
+                at = close if close >= 0 else len(page)
             if name in BLOCK:
                 flush()
             continue
         if name == "br":
             add("\n")
             continue
-        if name in BLOCK:
-            flush()
-            links = 0 if name not in ("li", "dt", "dd", "option") else links
-        if name == "a":
-            links += 1
-        if name in VOID or m[3].endswith("/"):
+        if name not in BLOCK:
+            links += name == "a" and not alone
+            continue
+        flush()
+        links = 0 if name not in ("li", "dt", "dd", "option") else links
+        if name in VOID or alone:
             continue
-        closes = IMPLIED.get(name, {"p"} if name in BLOCK else ())
+        closes = IMPLIED.get(name, {"p"})
         while stack and stack[-1][0] in closes:
-            stack.pop()
+            pop()
         zone = stack[-1][1] if stack else "none"
-        if zone != "poor" and name in BLOCK:
-            names = " ".join(x or y or z for x, y, z in NAMES.findall(m[3])) if m[3] else ""
-            if (name in POOR and not (name == "header" and zone == "rich")) or name not in ("html", "body") and (names and POOR_NAME.search(names) or m[3] and HIDDEN.search(m[3])):
+        if zone != "poor":
+            names = " ".join(x or y or z for x, y, z in NAMES.findall(told)) if told else ""
+            if (name in POOR and not (name == "header" and zone == "rich")) or name not in ("html", "body") and (names and POOR_NAME.search(names) or told and HIDDEN.search(told)):
                 zone = "poor"
             elif name in RICH or names and RICH_NAME.search(names) and name not in ("html", "body"):
                 zone = "rich"
         stack.append((name, zone))
+        opened[name] += 1
     flush()
     return out
 
