@@ -1,15 +1,19 @@
 """Lexical retrieval packing.
 
 Documents become token ids (with an end id) once, in a table in the shared folder.  They are dealt to shards of about
-``shard_tokens`` tokens: documents with alike token profiles share a group (the signs of a few random projections), and
-a group of any size is split by a hash, so no shard is larger than that but for one very long document.  A shard holds
-a BM25 inverted index over its documents, with document frequencies counted over the whole corpus (the terms are token
-ids, so these are one bounded vector).  From a seed document the index returns the unused documents that are nearest;
+``shard_tokens`` tokens by content: alike token profiles (the signs of a few random projections) share a group, and
+within a group documents with one sketch (the smallest hash of their ``SHINGLE``-id windows) share a shard, so near
+copies meet with a chance of about their similarity.  A sketch whose documents are more than a shard is split by a hash.  A
+shard holds a BM25 inverted index over its documents, with document frequencies counted over the whole corpus (the terms
+are token ids, so these are one bounded vector) and the Robertson-Sparck Jones weight, which is 0 for ids in half of all
+documents or more.  From a seed document the index returns the unused documents that are nearest;
 they fill the seed's window greedily.  A document that does not fit is cut, and its rest is the next seed.  So every
 sequence is full; what is left of a shard is cut into sequences whose lengths are powers of two, which need no padding.
 
-Null texts are empty: one end id.  Repeated rows, also of one doc_id, are packed each on its own.  A text may be of any
-length.  An empty table gives no rows.  Rows come with doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
+A seed asks its own shard only: asking all would cost the square of the corpus (the README has the share of nearest
+documents that a shard holds).  Null texts are empty: one end id.  Repeated rows, also of one doc_id, are packed each on its
+own; rows without an id keep their null.  A text may be of any length.  An empty table gives no rows; other columns are
+not read.  Rows come with doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 """
 
 from __future__ import annotations
@@ -18,36 +22,45 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vecloom.llm import scratch, tokens
-from vecloom.llm.text import rows
+from vecloom.llm.text import M1, M3, mix, rows
 from vecloom.llm.tokens import END, VOCABULARY
 
 K1, B = 1.2, 0.75
-PLANES = 4
+PLANES, SHINGLE = 4, 8
 
 
 def _planes() -> np.ndarray:
     return np.random.default_rng(11).standard_normal((VOCABULARY, PLANES)).astype(np.float32)
 
 
+def sketch(ids: np.ndarray) -> int:
+    """The smallest hash of the windows of ``SHINGLE`` ids; a shorter document is one window."""
+    w = min(SHINGLE, len(ids))
+    h = np.zeros(len(ids) - w + 1, np.uint64)
+    for i in range(w):
+        h = h * M3 + ids[i : len(ids) - w + 1 + i] + M1
+    return int(mix(h).min().view(np.int64))
+
+
 def tokenised(docs: DataFrame) -> DataFrame:
-    """doc_id, n (ids with the end id), ids (little-endian 16-bit), profile."""
+    """doc_id, n (ids with the end id), ids (little-endian 16-bit), profile, sketch."""
 
     def run(batches):
         planes = _planes()
-        end = np.array([END], "<u2").tobytes()
+        end = np.array([END], "<u2")
         for doc_ids, texts in rows(batches, "doc_id", "text"):
-            ids = [tokens.ids(t).tobytes() + end for t in texts]
-            profile = []
-            for raw in ids:
-                sums = planes[np.frombuffer(raw, "<u2")].sum(axis=0) if len(raw) < 200_000 else planes[np.frombuffer(raw, "<u2")[::7]].sum(axis=0)
-                profile.append(int((sums > 0) @ (1 << np.arange(PLANES))))
-            yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array([len(x) // 2 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(profile, pa.int32())], ["doc_id", "n", "ids", "profile"])
+            ids = [np.concatenate([tokens.ids(t), end]) for t in texts]
+            sums = [planes[x].sum(axis=0) if len(x) < VOCABULARY else np.bincount(x, minlength=VOCABULARY) @ planes for x in ids]
+            profile = [int((s > 0) @ (1 << np.arange(PLANES))) for s in sums]
+            longs = [doc_ids, [len(x) for x in ids], [sketch(x) for x in ids]]
+            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in longs), pa.array([x.tobytes() for x in ids], pa.binary()), pa.array(profile, pa.int32())], ["doc_id", "n", "sketch", "ids", "profile"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, ids binary, profile int")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, sketch long, ids binary, profile int")
 
 
 def frequencies(table: DataFrame) -> tuple[np.ndarray, int, float]:
@@ -82,24 +95,27 @@ class Index:
         first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         tf = np.diff(np.append(first, len(key)))
         term, doc = (key[first] & np.uint64(0xFFFF)).astype(np.int64), (key[first] >> np.uint64(16)).astype(np.int64)
+        said = idf[term] > 0
+        term, doc, tf = term[said], doc[said], tf[said]
         weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[doc] / mean))
         self.start = np.searchsorted(doc, np.arange(len(docs) + 1))
-        self.term, self.weight = term, weight
+        self.term = term
         order = np.argsort(term, kind="stable")
         self.doc, self.posted = doc[order], weight[order]
         self.at = np.searchsorted(term[order], np.arange(VOCABULARY + 1))
         self.n = len(docs)
 
-    def nearest(self, seed: int, used: np.ndarray, terms: int = 24, first: int = 32):
+    def scores(self, seed: int) -> np.ndarray:
+        """BM25 of every document for the distinct ids of ``seed``."""
+        own = self.term[self.start[seed] : self.start[seed + 1]]
+        spans = [slice(a, b) for a, b in zip(self.at[own].tolist(), self.at[own + 1].tolist(), strict=True)]
+        if not spans:
+            return np.zeros(self.n)
+        return np.bincount(np.concatenate([self.doc[x] for x in spans]), np.concatenate([self.posted[x] for x in spans]), self.n)
+
+    def nearest(self, seed: int, used: np.ndarray, first: int = 32):
         """Unused documents, best score first (ties: earlier document), in growing portions."""
-        a, b = self.start[seed], self.start[seed + 1]
-        own, weight = self.term[a:b], self.weight[a:b]
-        if b - a > terms:
-            own = own[np.argpartition(-weight, terms)[:terms]]
-        score = np.zeros(self.n)
-        for t in own:
-            a, b = self.at[t], self.at[t + 1]
-            score[self.doc[a:b]] += self.posted[a:b]
+        score = self.scores(seed)
         score[used] = -1
         while True:
             some = np.argpartition(-score, first)[:first] if first < self.n else np.arange(self.n)
@@ -161,27 +177,52 @@ def pack_shard(docs: list[np.ndarray], idf: np.ndarray, mean: float, window: int
 OUT = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+def dealt(table: DataFrame, shard_tokens: int, broadcast_rows: int = 200_000) -> DataFrame:
+    """``table`` with p, g, s, which together name a document's shard."""
+    sums = table.groupBy("profile", "sketch").agg(F.sum("n").alias("t"))
+    large = scratch.save(sums.where(F.col("t") > shard_tokens).select("profile", "sketch", F.ceil(F.col("t") / shard_tokens).alias("pieces")), "large")
+    small = large.count() <= broadcast_rows
+    parts = F.lit(1)
+    for r in table.groupBy("profile").agg(F.sum("n").alias("t")).collect():  # at most 2**PLANES rows
+        parts = F.when(F.col("profile") == r["profile"], F.lit(-(-r["t"] // shard_tokens))).otherwise(parts)
+    table = table.join(F.broadcast(large) if small else large, ["profile", "sketch"], "left")
+    part = F.when(F.col("pieces").isNull(), F.pmod(F.xxhash64("sketch"), parts)).otherwise(F.col("sketch"))
+    piece = F.when(F.col("pieces").isNull(), F.lit(-1)).otherwise(F.pmod(F.xxhash64("doc_id", "n"), F.col("pieces")))
+    return table.withColumns({"p": F.col("profile"), "g": part, "s": piece.cast("long")})
+
+
 def pack(docs: DataFrame, window: int = 2048, shard_tokens: int = 2_000_000) -> DataFrame:
     """One row per piece of a document in a sequence of at most ``window`` ids."""
     table = scratch.save(tokenised(docs), "tokens")
     df, n, mean = frequencies(table)
-    idf = np.log1p((n - df + 0.5) / (df + 0.5))
-    totals = {r["profile"]: r["t"] for r in table.groupBy("profile").agg(F.sum("n").alias("t")).collect()}  # at most 2**PLANES rows
-    parts = F.lit(1)
-    for profile, total in totals.items():
-        parts = F.when(F.col("profile") == profile, F.lit(-(-total // shard_tokens))).otherwise(parts)
-    shard = F.col("profile").cast("long") * (1 << 32) + F.pmod(F.xxhash64("doc_id", "n"), parts)
-
-    def run(group: pa.Table) -> pa.Table:
-        group = group.sort_by([("doc_id", "ascending"), ("n", "ascending")]).combine_chunks()
-        ids = [np.frombuffer(x, "<u2") for x in group.column("ids").to_pylist()]
-        doc_ids, base = group.column("doc_id").to_pylist(), group.column("shard")[0].as_py() << 24
+    idf = np.maximum(0, np.log((n - df + 0.5) / (df + 0.5)))
+
+    def packed(held, base):
+        ids = [np.frombuffer(x, "<u2") for x in held[1]]
         got = pack_shard(ids, idf, mean, window)
         crc = [zlib.crc32(ids[d][s : s + k].astype("<u4").tobytes()) for d, s, k, _, _ in got]
-        columns = [[doc_ids[d] for d, *_ in got], [x[1] for x in got], [x[2] for x in got], crc, [len(ids[x[0]]) for x in got], [base + x[3] for x in got], [x[4] for x in got]]
-        return pa.table([pa.array(c, pa.int64()) for c in columns], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+        columns = [[held[0][x[0]] for x in got], [x[1] for x in got], [x[2] for x in got], crc, [len(ids[x[0]]) for x in got], [base + x[3] for x in got], [x[4] for x in got]]
+        batch = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+        return batch, base + (got[-1][3] + 1 if got else 0)
 
-    return table.withColumn("shard", shard).groupBy("shard").applyInArrow(run, OUT)
+    def run(batches):
+        """Rows come sorted by shard; sequences are numbered within the task, which holds one shard at a time."""
+        held, at, base = ([], []), None, TaskContext.get().partitionId() << 40
+        for batch in batches:
+            keys = list(zip(*(batch.column(j).to_pylist() for j in range(3)), strict=True))
+            for key, doc_id, raw in zip(keys, batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
+                if key != at and held[0]:
+                    out, base = packed(held, base)
+                    yield out
+                    held = ([], [])
+                at = key
+                held[0].append(doc_id)
+                held[1].append(raw)
+        if held[0]:
+            yield packed(held, base)[0]
+
+    shards = dealt(table, shard_tokens).select("p", "g", "s", "doc_id", "ids", "n", "sketch")
+    return shards.repartition("p", "g", "s").sortWithinPartitions("p", "g", "s", "doc_id", "n", "sketch").select("p", "g", "s", "doc_id", "ids").mapInArrow(run, OUT)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
