@@ -5,12 +5,18 @@ conversation and compares consecutive outputs: what a turn adds is its span.  A
 when a turn arrives rewrites history; that is detected and reported, and the turns are then found in the final output
 by rendering a probe in their place.  Loss spans are the assistant texts inside the output, without any marker.
 
-``TURNS`` is the template of the registered query.  Inside texts a backslash, and the first character of anything that
-reads like a marker, get a backslash before them, so texts can be read back exactly (``read_back``).
+After ``NEAR`` turns, the prefixes begin a few turns before a block of ``NEAR`` turns instead of at the first turn, so the work
+grows with the conversation and not with its square.  Whenever the conversation has doubled, and at its end, the whole is
+rendered and compared with what the blocks have added up to; if it differs, all prefixes are rendered from the first
+turn.  So spans are right in any case; a template that rewrites history between two such comparisons only, and has undone
+it by the next, is not reported.
+
+``render`` is the template of the registered query.  Inside texts and roles a backslash, and the first character of anything
+that reads like a marker, get a backslash before them, and so does a newline in a role; all can be read back exactly (``read_back``).
 
 Turns are sorted by (turn, role, text), so ties and repeated rows have a defined order; null text and null role are
 empty; rows with a null conv_id form one conversation of their own; an empty table gives no rows; other columns are
-not read.  A task holds one conversation at a time; rendering prefixes costs the square of its number of turns.
+not read.  A task holds one conversation at a time.
 """
 
 from __future__ import annotations
@@ -26,6 +32,8 @@ from pyspark.sql import functions as F
 Turns = list[tuple[str, str]]
 
 MARK = re.compile(r"<s>|</s>|\[INST\]|\[/INST\]|<<SYS>>|<</SYS>>|\[ROLE=|\[/ROLE\]")
+STEP = re.compile(r"\\.|" + MARK.pattern, re.DOTALL)
+ROLE = re.compile(r"(?:\\.|[^\\\n])*", re.DOTALL)
 CONTROL = re.compile(r"\\|(?:<s>|</s>|\[INST\]|\[/INST\]|<<SYS>>|<</SYS>>|\[ROLE=|\[/ROLE\])")
 
 
@@ -33,6 +41,10 @@ def escape(text: str) -> str:
     return CONTROL.sub(lambda m: "\\" + m[0], text)
 
 
+def named(role: str) -> str:
+    return escape(role).replace("\n", "\\\n")
+
+
 def unescape(text: str) -> str:
     return re.sub(r"\\(.)", r"\1", text, flags=re.DOTALL)
 
@@ -48,11 +60,10 @@ def render(turns: Turns) -> str:
         elif role == "system":
             out.append(f"<<SYS>>{escape(text)}<</SYS>>")
         else:
-            out.append(f"[ROLE={escape(role)}\n{escape(text)}[/ROLE]")
+            out.append(f"[ROLE={named(role)}\n{escape(text)}[/ROLE]")
     return "".join(out)
 
 
-
 def read_back(out: str) -> Turns:
     """The turns of a rendered conversation; the inverse of ``render``."""
     turns, at = [], 3
@@ -61,7 +72,7 @@ def read_back(out: str) -> Turns:
         start = opened.end() if opened and opened[0] in ("[INST]", "<<SYS>>", "[ROLE=") else at
         end = start
         while True:  # the next marker without a backslash before it
-            m = re.compile(r"\\.|" + MARK.pattern, re.DOTALL).search(out, end)
+            m = STEP.search(out, end)
             if m is None:
                 raise ValueError("the output is not a rendered conversation")
             end = m.end()
@@ -74,38 +85,60 @@ def read_back(out: str) -> Turns:
         elif kind == "<<SYS>>":
             turns.append(("system", unescape(body)))
         elif kind == "[ROLE=":
-            role, _, text = body.partition("\n")
-            turns.append((unescape(role), unescape(text)))
+            role = ROLE.match(body)[0]  # up to the newline that has no backslash
+            turns.append((unescape(role), unescape(body[len(role) + 1 :])))
         else:
             turns.append(("assistant", unescape(body[1:-1])))
         at = m.end()
     return turns
 
 
-def locate(turns: Turns, template: Callable[[Turns], str]) -> tuple[str, list[tuple[int, int]], list[tuple[int, int]], bool]:
+#: Turns whose prefixes are rendered from the first turn on, the size of the later blocks, and the turns before a block.
+NEAR, BEFORE = 32, 2
+
+
+def probe_for(turns: Turns) -> str:
+    """A string that occurs in no text; its first character stands nowhere else in it, so it cannot begin before its place."""
+    everything = "\n".join(t for pair in turns for t in pair)
+    tries = ("\ue000" + hashlib.md5(bytes([k % 256, k // 256 % 256])).hexdigest() for k in range(1 << 16))
+    return next(p for p in tries if p not in everything)
+
+
+def locate(turns: Turns, template: Callable[[Turns], str], near: int = NEAR) -> tuple[str, list[tuple[int, int]], list[tuple[int, int]], bool]:
     """(output, span of each turn, span of each turn's text, does the template rewrite history)."""
-    everything = "".join(t for pair in turns for t in pair)
-    probe = next(chr(c) for c in range(0xE000, 0xF8FF) if chr(c) not in everything)
-    last, spans, texts, rewrites = template([]), [], [], False
-    for k, (role, text) in enumerate(turns):
-        out = template(turns[: k + 1])
-        if not out.startswith(last):
-            rewrites = True
-            break
-        probed = template([*turns[:k], (role, probe)])
-        at = probed.find(probe, len(last))
-        spans.append((len(last), len(out)))
-        texts.append((at, len(out) - (len(probed) - at - 1)) if at >= 0 else (len(out), len(out)))
-        last = out
-    if rewrites:  # find each turn in the final output instead
-        last, spans, texts = template(turns), [], []
-        for k, (role, _) in enumerate(turns):
-            probed = template([*turns[:k], (role, probe), *turns[k + 1 :]])
-            at = probed.find(probe)
-            end = len(last) - (len(probed) - at - 1)
-            texts.append((at, end) if at >= 0 and last[:at] == probed[:at] and end >= at else (0, 0))
-            spans.append(texts[-1])
-    return last, spans, texts, rewrites
+    probe = probe_for(turns)
+    last = template([])
+    pieces, length, spans, texts, checked = [last], len(last), [], [], near
+    for begin in range(0, len(turns), near):
+        base = max(0, begin - BEFORE) if begin else 0
+        if base:
+            last = template(turns[base:begin])
+        for k in range(begin, min(begin + near, len(turns))):
+            out = template(turns[base : k + 1])
+            if not out.startswith(last):
+                return locate(turns, template, len(turns)) if base else rewritten(turns, template, probe)
+            probed = template([*turns[base:k], (turns[k][0], probe)])
+            at, shift = probed.find(probe, len(last)), length - len(last)
+            spans.append((length, length + len(out) - len(last)))
+            texts.append((at + shift, len(out) - (len(probed) - at - len(probe)) + shift) if at >= 0 else (spans[-1][1], spans[-1][1]))
+            pieces.append(out[len(last) :])
+            length, last = spans[-1][1], out
+        if base and (k + 1 >= 2 * checked or k + 1 == len(turns)):
+            checked = k + 1
+            if template(turns[:checked]) != "".join(pieces):
+                return locate(turns, template, len(turns))
+    return "".join(pieces), spans, texts, False
+
+
+def rewritten(turns: Turns, template: Callable[[Turns], str], probe: str) -> tuple[str, list[tuple[int, int]], list[tuple[int, int]], bool]:
+    """What ``locate`` returns for a template that rewrites history: each text is sought in the final output."""
+    last, texts = template(turns), []
+    for k, (role, _) in enumerate(turns):
+        probed = template([*turns[:k], (role, probe), *turns[k + 1 :]])
+        at = probed.find(probe)
+        end = len(last) - (len(probed) - at - len(probe))
+        texts.append((at, end) if at >= 0 and last[:at] == probed[:at] and end >= at else (0, 0))
+    return last, list(texts), texts, True
 
 
 SPANS = "array<struct<start:long,stop:long>>"
