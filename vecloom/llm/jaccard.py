@@ -11,16 +11,18 @@ words.  Of the words that two linked sets share, the first in that order has D +
 keep it.  A set near the lower end of its
 band is in the band below, too.
 
-Pairs that meet are linked to the smallest id of their bucket only, which keeps a bucket of m documents to m rows;
+Pairs that meet are linked to the first class of their bucket only, which keeps a bucket of m documents to m rows;
 buckets that a sample shows to be large are aggregated before the shuffle and never gathered.  The
 components of these candidate links hold every linked pair, since documents of one bucket are in one component.  Each
-component is then verified exactly: an inverted list gives the intersections of one set with all others at once,
-pairs already connected are skipped, and a component of more than ``chunk`` documents is split into all pairs of chunks,
-so that no task holds more than two chunks.  The links found are joined into the final components.
+component is then verified exactly: an inverted list gives the intersections of one set with all others at once, and
+pairs already connected are skipped.  In a component of more than ``chunk`` classes every set is first compared with
+one of them by a join; those that link to it are one cluster, so only pairs with a set outside it are left, which are
+dealt as pairs of chunks, so that no task holds more than two chunks.  The links found are joined into the final components.
 
 A text is lower-cased in A-Z; words are runs of bytes other than 0x20 and 0x09-0x0D.  A text with fewer words than the
-width is one shingle; null and empty texts have none and are alone.  Rows that repeat a doc_id count as one document
-each; they share an id.  Other columns are not read.
+width is one shingle; null and empty texts have none and are alone.  Rows that repeat a doc_id are told apart by their
+texts, and each gets the component of its own text; a null doc_id links like others but never names a component that
+has another id.  An empty table gives no rows.  Other columns are not read.
 """
 
 from __future__ import annotations
@@ -60,9 +62,8 @@ def words_in(band: int, percent: int) -> tuple[int, int]:
 
 
 def sampled(docs: DataFrame, most: int) -> DataFrame:
-    """The texts of ``most`` ids, those with the smallest hashes."""
-    picked = docs.select("doc_id").distinct().orderBy(F.xxhash64("doc_id")).limit(most)
-    return docs.join(F.broadcast(picked), "doc_id", "left_semi").select("text")
+    """The texts of about ``most`` rows."""
+    return docs.select("text").sample(min(1.0, most / max(1, docs.count())), seed=5)
 
 
 def frequent(values: DataFrame, least: int, most: int) -> np.ndarray:
@@ -73,7 +74,7 @@ def frequent(values: DataFrame, least: int, most: int) -> np.ndarray:
 
 
 def common(docs: DataFrame, width: int, sample: int = 8000, often: int = 3, most: int = 500_000) -> np.ndarray:
-    """Sorted shingles that stand in at least ``often`` of ``sample`` documents, ``most`` at most.
+    """Sorted shingles that stand in at least ``often`` of about ``sample`` documents, ``most`` at most.
 
     They only say which sketch words are worth joining on; the result does not depend on them.
     """
@@ -87,8 +88,8 @@ def common(docs: DataFrame, width: int, sample: int = 8000, often: int = 3, most
     return frequent(sampled(docs, sample).mapInArrow(run, "x long"), often, most)
 
 
-def hot_keys(docs: DataFrame, width: int, percent: int, often: np.ndarray, sample: int = 2000, least: int = 20, most: int = 20_000) -> np.ndarray:
-    """Sorted join keys of at least ``least`` of ``sample`` documents, ``most`` at most.
+def hot_keys(docs: DataFrame, width: int, percent: int, often: np.ndarray, sample: int = 8000, least: int = 20, most: int = 20_000) -> np.ndarray:
+    """Sorted join keys of at least ``least`` of about ``sample`` documents, ``most`` at most.
 
     They only say which keys are aggregated before the shuffle; the result does not depend on them.
     """
@@ -125,24 +126,25 @@ def keys_of(items: np.ndarray, percent: int, often: np.ndarray) -> np.ndarray:
 
 
 def measured(docs: DataFrame, width: int, percent: int, often: np.ndarray, hot: np.ndarray) -> DataFrame:
-    """doc_id, n_shingles, fp (128-bit hash of the set), hot keys and other keys of every row."""
+    """row, doc_id, th (hash of the text), n_shingles, fp (128-bit hash of the set), hot keys and other keys of every row."""
 
     def run(batches):
         hashes = WordHashes()
-        for ids, texts in rows(batches, "doc_id", "text", slice_rows=256):
+        for numbers, ids, ths, texts in rows(batches, "row", "doc_id", "th", "text", slice_rows=256):
             found = sets(texts, hashes, width)
             fp = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in found]
             keys = [keys_of(s, percent, often) if len(s) else np.zeros(0, np.uint64) for s in found]
             warm = [np.isin(k, hot) for k in keys]
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(ids, pa.int64()), pa.array([len(s) for s in found], pa.int64()), pa.array(fp, pa.binary()),
+                    *(pa.array(x, pa.int64()) for x in (numbers, ids, ths, [len(s) for s in found])), pa.array(fp, pa.binary()),
                     *(pa.array([k[w == x].view(np.int64) for k, w in zip(keys, warm, strict=True)], pa.list_(pa.int64())) for x in (True, False)),
                 ],
-                ["doc_id", "n_shingles", "fp", "hot", "keys"],
+                ["row", "doc_id", "th", "n_shingles", "fp", "hot", "keys"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, fp binary, hot array<long>, keys array<long>")
+    numbered = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.xxhash64("text").alias("th"), "text")
+    return numbered.mapInArrow(run, "row long, doc_id long, th long, n_shingles long, fp binary, hot array<long>, keys array<long>")
 
 
 def components(edges: DataFrame, most: int = 60) -> DataFrame:
@@ -200,59 +202,91 @@ def verify(ids: list[int], found: list[np.ndarray], percent: int, sides: list[in
     return out
 
 
+def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Do two sorted sets link?"""
+    both = len(np.intersect1d(a, b, assume_unique=True)) if 100 * min(len(a), len(b)) >= percent * max(len(a), len(b)) else 0
+    return both > 0 and 100 * both >= percent * (len(a) + len(b) - both)
+
+
 def join(docs: DataFrame, width: int = 3, percent: int = 90, chunk: int = 512, broadcast_rows: int = 200_000) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row of ``docs``."""
-    spark = docs.sparkSession
+    """doc_id, n_shingles, component_id and th (``xxhash64`` of the text) of every row of ``docs``."""
     often = common(docs, width)
     table = scratch.save(measured(docs, width, percent, often, hot_keys(docs, width, percent, often)), "sets")
-    classes = scratch.save(table.where("fp IS NOT NULL AND doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
-    # one row stands for its class; rows that repeat its id carry the same keys or harmless more
-    single = table.where("fp IS NOT NULL").join(classes, "fp").where("doc_id = rep")
+    # one row stands for the class of rows with its set; ``n`` rows have its id and text
+    same = table.where("fp IS NOT NULL").groupBy("fp", "doc_id", "th").agg(F.min("row").alias("row"), F.count(F.lit(1)).alias("n"))
+    first = same.groupBy("fp").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "th", "row", "n")).alias("x"))
+    classes = scratch.save(first.select(F.monotonically_increasing_id().alias("id"), "fp", "x.doc_id", "x.th", "x.row", "x.n"), "classes")
+    single = table.select("row", "hot", "keys").join(classes.select("row", "id"), "row")
     # one shuffle of the keys serves both the aggregation and the join with what it leaves
-    keyed = single.select("rep", F.explode("keys").alias("key")).repartition("key")
-    shared = keyed.groupBy("key").agg(F.min("rep").alias("first"), F.max("rep").alias("last")).where("first <> last").select("key", "first")
+    keyed = single.select("id", F.explode("keys").alias("key")).repartition("key")
+    shared = keyed.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first <> last").select("key", "first")
     met = keyed.join(shared.hint("shuffle_hash"), "key")
-    # the hot keys are bounded in number (``hot_keys``), so their first documents can be broadcast
-    warm = single.select("rep", F.explode("hot").alias("key"))
-    met = met.unionByName(warm.join(F.broadcast(warm.groupBy("key").agg(F.min("rep").alias("first"))), "key"))
-    met = met.where("rep <> first").select(F.col("rep").alias("a"), F.col("first").alias("b"))
+    # the hot keys are bounded in number (``hot_keys``), so their first classes can be broadcast
+    warm = single.select("id", F.explode("hot").alias("key"))
+    met = met.unionByName(warm.join(F.broadcast(warm.groupBy("key").agg(F.min("id").alias("first"))), "key"))
+    met = met.where("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b"))
     groups = scratch.save(components(met), "candidates")
-    # a component's place: its members are dealt to chunks of about `chunk` rows, and tasks take pairs of chunks
     sizes = groups.groupBy("root").agg(F.count(F.lit(1)).alias("m"))
-    parts = F.ceil(F.col("m") / chunk).cast("int")
-    placed = groups.join(sizes, "root").select("id", "root", parts.alias("parts"), F.pmod(F.xxhash64("id"), parts).cast("int").alias("part"))
+    placed = groups.join(sizes, "root").join(classes, "id").select("id", "root", "doc_id", "th", "n", (F.col("m") > chunk).alias("large"))
     placed = scratch.save(placed, "placed")
-    small = placed.count() <= broadcast_rows
-    texts = docs.select("doc_id", "text").withColumnRenamed("doc_id", "id")
-    texts = texts.join(F.broadcast(placed) if small else placed, "id")
+    told = placed.agg(F.count(F.lit(1)), F.max("n"), F.max("large")).first()
+    side = F.broadcast(placed) if told[0] <= broadcast_rows else placed
+    texts = docs.select("doc_id", F.xxhash64("text").alias("th"), "text").alias("l").join(side.alias("r"), (F.col("l.th") == F.col("r.th")) & F.col("l.doc_id").eqNullSafe(F.col("r.doc_id")))
+    texts = texts.select("r.id", "r.root", "r.large", "l.text")
+    if told[1] and told[1] > 1:  # rows that repeat an id and its text stand for one class
+        texts = texts.dropDuplicates(["id"])
 
     def again(batches):
         hashes = WordHashes()
-        for ids, text, root, parts, part in rows(batches, "id", "text", "root", "parts", "part", slice_rows=256):
+        for ids, root, large, text in rows(batches, "id", "root", "large", "text", slice_rows=256):
             found = sets(text, hashes, width)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([s.tobytes() for s in found], pa.binary()), pa.array(root, pa.int64()), pa.array(parts, pa.int32()), pa.array(part, pa.int32())], ["id", "items", "root", "parts", "part"])
-
-    members = texts.select("id", "text", "root", "parts", "part").mapInArrow(again, "id long, items binary, root long, parts int, part int")
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    dealt = members.withColumn("other", other).select("id", "items", "root", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(root, pa.int64()), pa.array(large, pa.bool_()), pa.array([s.tobytes() for s in found], pa.binary())], ["id", "root", "large", "items"])
+
+    members = texts.mapInArrow(again, "id long, root long, large boolean, items binary")
+    # small groups are one part; ``free`` parts are compared with all parts of their group, the rest with the free ones only
+    one = [F.lit(0).alias(c) for c in ("part", "last")]
+    dealt, links = members.where("NOT large").select("id", "root", "items", *one), None
+    if told[2]:
+        members = scratch.save(members, "members")
+        large = members.where("large")
+        # a group's pivot is its root; both sides are plain exchanges, so adaptive execution can split a large group
+        both = large.join(large.where("id = root").select("root", F.col("items").alias("pivot")), "root")
+
+        def star(batches):
+            for ids, root, items, pivot in rows(batches, "id", "root", "items", "pivot", slice_rows=256):
+                linked = [similar(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), percent) for a, b in zip(items, pivot, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(root, pa.int64()), pa.array(linked, pa.bool_())], ["id", "root", "linked"])
+
+        stars = scratch.save(both.select("id", "root", "items", "pivot").mapInArrow(star, "id long, root long, linked boolean"), "stars")
+        links = stars.where("linked AND id <> root").select(F.col("id").alias("a"), F.col("root").alias("b"))
+        left = stars.groupBy("root").agg(F.count_if(~F.col("linked")).alias("free"), F.count_if("linked").alias("rest")).where("free > 0")
+        parts = [F.ceil(F.col(c) / chunk).cast("int") for c in ("free", "rest")]
+        h = F.xxhash64("id")
+        part = F.when(F.col("linked"), parts[0] + F.pmod(h, F.greatest(parts[1], F.lit(1)))).otherwise(F.pmod(h, parts[0])).cast("int")
+        last = F.when(F.col("linked"), parts[0] - 1).otherwise(parts[0] + parts[1] - 1)
+        where = stars.join(left, "root").select("id", part.alias("part"), last.alias("last"))
+        dealt = members.where("NOT large").select("id", "root", "items", *one).unionByName(large.join(where, "id").select("id", "root", "items", "part", "last"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), "last"))).select("id", "root", "items", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
 
     def check(group: pa.Table) -> pa.Table:
         group = group.sort_by([("id", "ascending")]).combine_chunks()
         ids, sides = group.column("id").to_pylist(), group.column("part").to_pylist()
         found = [np.frombuffer(x, np.uint64) for x in group.column("items").to_pylist()]
-        keep = [k for k, s in enumerate(found) if len(s)]
         split = group.column("i")[0].as_py() != group.column("j")[0].as_py()
-        got = verify([ids[k] for k in keep], [found[k] for k in keep], percent, [sides[k] for k in keep] if split else None) if len(keep) > 1 else []
+        got = verify(ids, found, percent, sides if split else None) if len(ids) > 1 else []
         return pa.table([pa.array([a for a, _ in got], pa.int64()), pa.array([b for _, b in got], pa.int64())], ["a", "b"])
 
-    links = dealt.groupBy("root", "i", "j").applyInArrow(check, "a long, b long")
-    linked = components(links).select(F.col("id").alias("rep"), "root")
-    named = classes.join(linked, "rep", "left").select("fp", F.coalesce("root", "rep").alias("component"))
-    return table.join(named, "fp", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    more = dealt.groupBy("root", "i", "j").applyInArrow(check, "a long, b long")
+    linked = scratch.save(components(more if links is None else links.unionByName(more)), "linked")
+    # a component is named by its smallest document
+    ids = classes.select("id", "doc_id").join(linked, "id")
+    names = linked.join(ids.groupBy("root").agg(F.min("doc_id").alias("component")), "root").select("id", "component")
+    named = classes.select("id", "fp", "doc_id").join(names, "id", "left").select("fp", F.coalesce("component", "doc_id").alias("component"))
+    return table.join(named, "fp", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), "th")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return join(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return join(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("th")
 
 
 ORACLE = r"""
