@@ -4,92 +4,113 @@ A softmax classifier, trained on a bounded sample of the labelled table, gives e
 Document rates r >= 0 are then fitted by projected-gradient least squares: the expected domain token totals
 S_k(r) = sum_d r_d n_d p_dk are to match the targets T_k.  The gradient at a document is its posterior vector times the
 residual, so a document's rate after t steps follows from its posteriors and the t step vectors alone: each step is
-one pass over the table of posteriors that adds up k + k*k numbers per task, and nothing is shuffled or joined.  Steps
-are scaled by the inverse of the active documents' second-moment matrix.  A rate's whole part is the number of copies, its
+one pass over the table of posteriors that adds up k + k*k numbers per task and tried length, and nothing is shuffled or
+joined.  Steps are scaled by the inverse of the active documents' second-moment matrix, or not, and their length is
+searched, whichever comes nearest to the targets.  A rate's whole part is the number of copies, its
 fraction the chance (by a hash of the id) of one more.
 
-Domains come from ``labels``: toxic if toxic = 1, else good or poor by quality.  Unlabelled rows (null quality) are not
-trained on; with no usable labels all posteriors are equal.  Null or empty texts have no tokens, and their rate is the
-fitted function of their posteriors like any other's.  Repeated rows get the same rate.  Other columns pass through.
-A target whose domain has no tokens cannot be met; the fit then gets as near as it can.
+Tokens are the ids that packing counts (its tokeniser, without the end id); the classifier's features are their damped
+counts, hashed.  Domains come from ``labels``: toxic if toxic = 1, else good or poor by quality.  Unlabelled rows (null
+quality) are not trained on; with no usable labels all posteriors are equal.  Null or empty texts have no tokens, and their rate is
+the fitted function of their posteriors like any other's.  Repeated rows get the same rate, and so do rows with one id
+and equal texts; an empty table gives no rows.  Other columns pass through, whatever their names.  A target whose domain has no
+tokens cannot be met; the fit then gets as near as it can, and warns with the part that is missing.
 """
 
 from __future__ import annotations
 
+import warnings
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecloom.llm import scratch
-from vecloom.llm.text import WordHashes, rows
+from vecloom.llm import scratch, tokens
+from vecloom.llm.text import mix as scramble
+from vecloom.llm.text import rows
 
 DOMAINS = ["good", "poor", "toxic"]
-DIM = 2048
+DIM = 4096
+
+
+#: The feature of each token id.
+PLACE = (scramble(np.arange(tokens.VOCABULARY, dtype=np.uint64)) % np.uint64(DIM)).astype(np.int64)
+
+
+@dataclass(frozen=True)
+class Model:
+    """Softmax weights (DIM + 1, domains) and the factor of each feature."""
+
+    weights: np.ndarray
+    scale: np.ndarray
 
 
-def features(text: str | None, hashes: WordHashes) -> tuple[np.ndarray, int]:
-    """Unit vector of damped hashed word counts (the last entry is 1), and the number of words."""
-    words = (text or "").lower().encode("utf-8", "surrogatepass").split()
-    x = np.zeros(DIM + 1)
-    x[DIM] = 1
-    if words:
-        counts = np.bincount((hashes.of(words) >> np.uint64(17)).astype(np.int64) % DIM, minlength=DIM)
-        x[:DIM] = np.log1p(counts)
-        x[:DIM] /= np.sqrt((x[:DIM] ** 2).sum())
-    return x, len(words)
+def counts(text: str | None) -> tuple[np.ndarray, int]:
+    """Damped counts of hashed token ids, and the number of ids."""
+    ids = tokens.ids(text)
+    return np.log1p(np.bincount(PLACE[ids], minlength=DIM)), len(ids)
 
 
-def classifier(docs: DataFrame, labels: DataFrame, most: int = 4000, steps: int = 300) -> np.ndarray:
-    """Softmax weights (DIM + 1, domains) fitted on at most ``most`` labelled documents."""
+def features(found: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """Rows of unit vectors of scaled counts; the last entry is 1."""
+    x = np.ones((len(found), DIM + 1))
+    x[:, :DIM] = found * scale
+    x[:, :DIM] /= np.maximum(1e-12, np.sqrt((x[:, :DIM] ** 2).sum(axis=1, keepdims=True)))
+    return x
+
+
+def classifier(docs: DataFrame, labels: DataFrame, most: int = 4000, steps: int = 300) -> Model:
+    """Fitted on at most ``most`` labelled documents; a feature's factor is the log of its rarity among them."""
     domain = F.when(F.col("toxic") == 1, 2).when(F.col("quality") == 1, 0).otherwise(1)
-    picked = (
-        labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull())
-        .groupBy("doc_id").agg(F.max(domain).alias("domain"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    )
+    usable = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull())
+    picked = scratch.fewest(usable.groupBy("doc_id").agg(F.max(domain).alias("domain")), "doc_id", most)
     # both sides of these joins are bounded by `most` rows
     got = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
 
     def run(batches):
-        hashes = WordHashes()
         for ids, texts, kinds in rows(batches, "doc_id", "text", "domain"):
-            x = [features(t, hashes)[0].astype(np.float32).tobytes() for t in texts]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(x, pa.binary()), pa.array(kinds, pa.int32())], ["doc_id", "x", "domain"])
+            found = [counts(t)[0].astype("<f4") for t in texts]
+            at = [np.flatnonzero(x).astype("<u2") for x in found]
+            packed = ([a.tobytes() for a in at], [x[a].tobytes() for x, a in zip(found, at, strict=True)])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(x, pa.binary()) for x in packed), pa.array(kinds, pa.int32())], ["doc_id", "at", "x", "domain"])
 
-    table = got.mapInArrow(run, "doc_id long, x binary, domain int").toPandas().drop_duplicates("doc_id").sort_values("doc_id")
-    w = np.zeros((DIM + 1, len(DOMAINS)))
+    table = got.mapInArrow(run, "doc_id long, at binary, x binary, domain int").toPandas().sort_values(["doc_id", "at", "x"]).drop_duplicates("doc_id")
+    w, scale = np.zeros((DIM + 1, len(DOMAINS))), np.ones(DIM)
     if len(table):
-        x = np.stack([np.frombuffer(v, np.float32) for v in table["x"]]).astype(float)
-        y = np.eye(len(DOMAINS))[table["domain"]]
+        found = np.zeros((len(table), DIM))
+        for k, (at, x) in enumerate(zip(table["at"], table["x"], strict=True)):
+            found[k, np.frombuffer(at, "<u2")] = np.frombuffer(x, "<f4")
+        scale = np.log((len(table) + 1) / ((found > 0).sum(axis=0) + 1))
+        x, y = features(found, scale), np.eye(len(DOMAINS))[table["domain"]]
         speed = np.zeros_like(w)
         for _ in range(steps):  # gradient descent with momentum on the ridge-penalised log-loss
             p = np.exp((z := x @ w) - z.max(axis=1, keepdims=True))
             p /= p.sum(axis=1, keepdims=True)
             speed = 0.9 * speed - 4.0 * (x.T @ (p - y) / len(x) + 1e-5 * w)
             w = w + speed
-    return w
+    return Model(w, scale)
 
 
-def shares(texts: list[str | None], hashes: WordHashes, weights: np.ndarray) -> tuple[np.ndarray, list[int]]:
-    """Posteriors and number of words of each text."""
-    got = [features(t, hashes) for t in texts]
-    z = np.array([x for x, _ in got]) @ weights
+def shares(texts: list[str | None], model: Model) -> tuple[np.ndarray, list[int]]:
+    """Posteriors and number of tokens of each text."""
+    got = [counts(t) for t in texts]
+    z = features(np.array([x for x, _ in got]).reshape(-1, DIM), model.scale) @ model.weights
     p = np.exp(z - z.max(axis=1, keepdims=True))
     return p / p.sum(axis=1, keepdims=True), [n for _, n in got]
 
 
-def posteriors(docs: DataFrame, weights: np.ndarray, *carry: str) -> DataFrame:
-    """The ``carry`` columns, tokens (words) and p, an array with a probability per domain."""
+def posteriors(docs: DataFrame, model: Model, *carry: str) -> DataFrame:
+    """The ``carry`` columns, tokens and p, an array with a probability per domain."""
     kept = docs.select(*carry, "text")
     schema = ", ".join(f"`{c}` {t}" for c, t in kept.select(*carry).dtypes) + ", tokens long, p array<double>"
 
     def run(batches):
-        hashes = WordHashes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                p, n = shares(part.column(part.num_columns - 1).to_pylist(), hashes, weights)
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                p, n = shares(part.column(part.num_columns - 1).to_pylist(), model)
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(n, pa.int64()), pa.array(list(p), pa.list_(pa.float64()))], [*carry, "tokens", "p"])
 
     return kept.mapInArrow(run, schema)
@@ -103,39 +124,60 @@ def rates(p: np.ndarray, steps: list[np.ndarray]) -> np.ndarray:
     return r
 
 
-def totals(table: DataFrame, steps: list[np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Expected tokens of each domain, and the second moments of the active rows."""
+def totals(table: DataFrame, steps: list[np.ndarray], tries: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """After ``steps`` and each of ``tries``: the expected tokens of each domain, and the second moments of the active rows."""
+    k, t = len(tries[0]), len(tries)
 
     def run(batches):
-        s, m = np.zeros(k), np.zeros((k, k))
+        s, m = np.zeros((t, k)), np.zeros((t, k, k))
         for batch in batches:
             n = np.asarray(batch.column(0), float)
             p = np.asarray(batch.column(1).flatten(), float).reshape(-1, k)
-            r = rates(p, steps)
-            s += (r * n) @ p
-            active = n * ((r > 0) | (p @ (steps[-1] if steps else np.zeros(k)) < 0))
-            m += (p * active[:, None]).T @ p
-        yield pa.RecordBatch.from_arrays([pa.array([s.tolist()]), pa.array([m.ravel().tolist()])], ["s", "m"])
+            before = rates(p, steps)
+            for j, step in enumerate(tries):
+                moved = p @ step
+                r = np.maximum(0, before - moved)
+                s[j] += (r * n) @ p
+                active = n * ((r > 0) | (moved < 0))
+                m[j] += (p * active[:, None]).T @ p
+        yield pa.RecordBatch.from_arrays([pa.array([s.ravel().tolist()]), pa.array([m.ravel().tolist()])], ["s", "m"])
 
     sums = table.select("tokens", "p").mapInArrow(run, "s array<double>, m array<double>")
-    row = sums.agg(*(F.sum(F.col("s")[i]) for i in range(k)), *(F.sum(F.col("m")[i]) for i in range(k * k))).first()
+    row = sums.agg(*(F.sum(F.col("s")[i]) for i in range(t * k)), *(F.sum(F.col("m")[i]) for i in range(t * k * k))).first()
     row = np.array([x or 0.0 for x in row])
-    return row[:k], row[k:].reshape(k, k)
+    return row[: t * k].reshape(t, k), row[t * k :].reshape(t, k, k)
+
+
+#: Lengths that are tried of each step, all in one pass.
+LENGTHS = [2.0**-j for j in range(0, 14, 2)] + [0.5]
 
 
 def fit(table: DataFrame, weights: list[float], anchor: int = 0, grow: float = 1.0, passes: int = 25, close: float = 1e-6) -> list[np.ndarray]:
-    """The steps that bring the domain totals to ``weights``; their sum is set so that ``anchor`` keeps ``grow`` times its tokens."""
+    """The steps that bring the domain totals to ``weights``; their sum is set so that ``anchor`` keeps ``grow`` times its tokens.
+
+    Of each step the length that leaves the least squared distance to the targets is taken, so the distance never grows.
+    """
     k, steps = len(weights), []
     share = np.array(weights, float) / sum(weights)
-    start, moments = totals(table, steps, k)
-    target = share * (grow * start[anchor] / share[anchor])
-    now = start
+    found, moments = totals(table, steps, [np.zeros(k)])
+    now, moment = found[0], moments[0]
+    target = share * (grow * now[anchor] / share[anchor])
+    missing = lambda s: np.abs(s - target).max() / max(1.0, target.sum())
     for _ in range(passes):
-        if np.abs(now - target).max() <= close * max(1.0, target.sum()):
+        if missing(now) <= close:
             break
-        ridge = 1e-9 * max(np.trace(moments), 1e-9)
-        steps.append(np.linalg.solve(moments + ridge * np.eye(k), now - target))
-        now, moments = totals(table, steps, k)
+        ridge = 1e-9 * max(np.trace(moment), 1e-9)
+        newton = np.linalg.solve(moment + ridge * np.eye(k), now - target)
+        plain = (now - target) / max(np.trace(moment), 1e-9)
+        tries = [x * step for step in (newton, plain) for x in LENGTHS]
+        found, moments = totals(table, steps, tries)
+        best = int(((found - target) ** 2).sum(axis=1).argmin())
+        if ((found[best] - target) ** 2).sum() > 0.99 * ((now - target) ** 2).sum():
+            break  # as near as it gets
+        steps.append(tries[best])
+        now, moment = found[best], moments[best]
+    if missing(now) > close:
+        warnings.warn(f"after {len(steps)} steps the domain totals miss their targets by up to {missing(now):.2g} of all tokens", stacklevel=2)
     return steps
 
 
@@ -169,11 +211,10 @@ def resampled(docs: DataFrame, labels: DataFrame, weights: tuple[float, ...] = (
     at = columns.index("text")
 
     def run(batches):
-        hashes = WordHashes()
         for batch in batches:
             for start in range(0, batch.num_rows, 128):
                 part = batch.slice(start, 128)
-                p, _ = shares(part.column(at).to_pylist(), hashes, model)
+                p, _ = shares(part.column(at).to_pylist(), model)
                 rate = np.round(rates(p, steps), 6)
                 copies = np.floor(rate) + (np.asarray(part.column(part.num_columns - 1)) < rate - np.floor(rate))
                 again = np.repeat(np.arange(part.num_rows), copies.astype(np.int64))
