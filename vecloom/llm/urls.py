@@ -2,8 +2,8 @@
 
 The host is turned round (``www.example.com`` -> ``com.example.www.``), so that a host rule is the interval
 ``[com.example., com.example/)`` of keys ('/' follows '.' in byte order) and the rules of one host nest in those of
-its parents.  URLs are dealt to key ranges cut at the quantiles of a bounded sample; a rule is copied to the ranges
-that its interval meets; each range is sorted and swept once with a stack of the open rule hosts.  The path is part
+its parents.  URLs are dealt to key ranges cut at the quantiles of a sample of about ``sample`` keys, which are shortened
+to 200 characters (cuts need not be keys); a rule is copied to the ranges that its interval meets; each range is sorted and swept once with a stack of the open rule hosts.  The path is part
 of the key, so one hot host spreads over many ranges, and sorting spills.
 
 ``judge`` defines: host = what stands after the first ``://`` up to ``/ ? #`` or the end, A-Z lower-cased; path = from
@@ -90,8 +90,9 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", ranges: in
     # '\x00' sorts before '.', so a host's own urls come after its rules and before those of its subdomains
     full = F.concat(reversed_key(F.col("host")), F.lit("\x00"), F.col("path"), F.lit("\x00"), F.hex(F.xxhash64("page_id")))
     urls = urls.withColumn("key", full)
-    picked = urls.select("key", F.xxhash64("page_id").alias("h")).orderBy("h", "key").limit(sample)
-    keys = sorted(r.key for r in picked.select("key").collect())  # at most `sample` keys
+    # the cuts decide where a url is judged, not how, so any sample will do; about `sample` keys reach the driver
+    picked = urls.sample(min(1.0, sample / max(1, pages.count())), seed=3).select(F.substring("key", 1, 200).alias("key"))
+    keys = sorted(r.key for r in picked.collect())
     cuts = sorted({keys[i * len(keys) // ranges] for i in range(1, ranges)}) if keys else []
 
     @F.pandas_udf("int")
