@@ -4,8 +4,9 @@ Every byte covered by a ``length``-byte string that also starts anywhere else go
 repeats can be: each ``length``-byte window has an anchor, its leftmost smallest ``gram``-byte hash, which depends on the
 window's bytes alone, so equal windows have equal anchors at equal offsets.  Anchors that occur once in the corpus settle
 their windows.  The others send their span (the bytes of the windows they stand for) to the anchor's group.  Equal
-spans in a group settle each other; the rest of a group is concatenated, sorted by ``suffix_array``, and neighbours
-in that order that agree in ``length`` bytes mark their windows.  Removed runs return to their documents.
+spans settle each other, first within a task, which then sends one of them, then in the group; the rest of a group is
+concatenated, sorted by ``suffix_array``, and neighbours in that order that agree in ``length`` bytes mark their windows.
+Removed runs return to their documents.
 
 ``suffix_array`` is the linear grouping construction: suffixes are grouped by their Lyndon prefix, groups are processed
 in descending order and lengthen the prefix of the suffix at their previous-smaller pointer, and a second scan emits
@@ -33,7 +34,9 @@ from vecloom.llm.text import mix, rows
 LENGTH, GRAM = 200, 64
 _B = 0x9E3779B97F4A7C15 | 1
 _CODE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x2545F4914F6CDD1D))
-CHUNK = 1 << 20
+CHUNK, BITS = 1 << 20, np.uint64(21)  # a position within a chunk and the window after it has 21 bits
+#: Spans that a task holds to find equal ones before it sends them, and their bytes.
+HELD, HELD_BYTES = 50_000, 16 << 20
 
 
 def suffix_array(text: bytes | list[int]) -> list[int]:
@@ -124,18 +127,22 @@ def anchors(raw: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndar
         m = len(part) - gram + 1
         h[a : a + m] = (s[gram:] - s[:m]) * inverse[:m]
     h = mix(h)
-    # sliding minimum of (hash, position) by prefix and suffix minima of blocks
-    w = length - gram + 1
-    bits = np.uint64(max(1, int(len(h)).bit_length()))
-    key = (h >> bits << bits) | np.arange(len(h), dtype=np.uint64)
-    full = np.full(-(-len(key) // w) * w + w, np.iinfo(np.uint64).max, np.uint64)
-    full[: len(key)] = key
-    blocks = full.reshape(-1, w)
-    ahead = np.minimum.accumulate(blocks, axis=1).ravel()
-    back = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
-    starts = n - length + 1
-    low = np.minimum(back[:starts], ahead[w - 1 : w - 1 + starts])
-    return (low & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64), h
+    # sliding minimum of (hash, position) by prefix and suffix minima of blocks; the hash's bits that count and the order of
+    # positions are the same in every text and part of it
+    w, starts = length - gram + 1, n - length + 1
+    out = np.empty(starts, np.int64)
+    for a in range(0, starts, CHUNK):
+        part = h[a : a + CHUNK + w - 1]
+        key = (part >> BITS << BITS) | np.arange(len(part), dtype=np.uint64)
+        full = np.full(-(-len(key) // w) * w + w, np.iinfo(np.uint64).max, np.uint64)
+        full[: len(key)] = key
+        blocks = full.reshape(-1, w)
+        ahead = np.minimum.accumulate(blocks, axis=1).ravel()
+        back = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
+        m = min(CHUNK, starts - a)
+        low = np.minimum(back[:m], ahead[w - 1 : w - 1 + m])
+        out[a : a + m] = (low & ((np.uint64(1) << BITS) - np.uint64(1))).astype(np.int64) + a
+    return out, h
 
 
 def shared(a: bytes, b: bytes) -> int:
@@ -229,22 +236,60 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, largest: int
     on = [F.col("l.doc_id").eqNullSafe(F.col("r.doc_id")), F.col("l.th") == F.col("r.th")]
     with_places = docs.alias("l").join(places.alias("r"), on).select("l.doc_id", "l.th", "text", "ps")
 
+    kinds = (pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_())
+    columns = ["fp", "span", "off", "doc_id", "th", "a", "b", "many"]
+
     def spans(batches):
+        """A row per span (``many``: it has been found equal to another), or with no span a run that is settled."""
+        held: dict[tuple[int, bytes], list] = {}
+        out, weight = tuple([] for _ in kinds), 0
+
+        def put(*row):
+            for x, value in zip(out, row, strict=True):
+                x.append(value)
+
+        def run(i, th, a, b):  # dealt anywhere
+            put(int(np.int64(((i or 0) * 0x9E3779B97F4A7C15 + th * 3 + a * 0x2545F4914F6CDD1D) & 0x7FFFFFFFFFFFFFFF)), b"", -1, i, th, a, b, True)
+
+        def flush():
+            batch = pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], columns)
+            for x in out:
+                x.clear()
+            return batch
+
+        def let_go():
+            nonlocal weight
+            for (fp, span), row in held.items():
+                put(fp, span, *row)
+            held.clear()
+            weight = 0
+
         for batch in batches:
             for ids, ths, texts, pss in rows([batch], "doc_id", "th", "text", "ps", slice_rows=64):
-                out = ([], [], [], [], [], [])
                 for i, th, text, ps in zip(ids, ths, texts, pss, strict=True):
                     raw = text.encode("utf-8", "surrogatepass")
                     at, h = anchors(raw, length, gram)
                     # positions of one anchor are consecutive starts, since anchors never move left
                     low, high = np.searchsorted(at, ps, "left"), np.searchsorted(at, ps, "right")
-                    for p, a, b in zip(ps, low.tolist(), high.tolist(), strict=True):
-                        for x, value in zip(out, (int(h[p : p + 1].view(np.int64)[0]), raw[a : b - 1 + length], p - a, i, th, a), strict=True):
-                            x.append(value)
-                kinds = (pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], ["fp", "span", "off", "doc_id", "th", "a"])
+                    for p, fp, a, b in zip(ps, h[ps].view(np.int64).tolist(), low.tolist(), high.tolist(), strict=True):
+                        b += length - 1
+                        have = held.get((fp, raw[a:b]))
+                        if have is None:
+                            held[fp, raw[a:b]] = [p - a, i, th, a, b, False]
+                            weight += b - a
+                            continue
+                        if not have[5]:
+                            have[5] = True
+                            run(*have[1:5])
+                        if have[1:4] != [i, th, a]:
+                            run(i, th, a, b)
+                if len(held) > HELD or weight > HELD_BYTES:
+                    let_go()
+                yield flush()
+        let_go()
+        yield flush()
 
-    sent = with_places.mapInArrow(spans, "fp long, span binary, off int, doc_id long, th long, a long")
+    sent = with_places.mapInArrow(spans, "fp long, span binary, off int, doc_id long, th long, a long, b long, many boolean")
 
     def settle(batches):
         """Rows come sorted by (fp, span), so equal spans are neighbours and only one of them is kept."""
@@ -257,12 +302,12 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, largest: int
                 x.append(value)
 
         def close():
-            lonely = [h for h in held if h[6] == 1]
+            lonely = [h for h in held if not h[7]]
             if lonely and len(held) > 1:
                 pieces = [(h[1], h[2]) for h in held]
                 marks = marked(pieces, length) if sum(len(p) for p, _ in pieces) <= largest else plain_marks(pieces, length)
                 for h, m in zip(held, marks, strict=True):
-                    if h[6] == 1:
+                    if not h[7]:
                         for a, b in runs(m):
                             give(h, a, b - 1 + length)
 
@@ -274,16 +319,19 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, largest: int
 
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if row[2] < 0:
+                    give(row, 0, row[6] - row[5])
+                    continue
                 if row[0] != now:
                     close()
                     held, now = [], row[0]
                 if held and held[-1][1] == row[1]:
-                    if held[-1][6] == 1:
-                        give(held[-1], 0, len(row[1]))
-                    held[-1][6] += 1
-                    give(row, 0, len(row[1]))
+                    for one in (held[-1], row):
+                        if not one[7]:
+                            give(one, 0, len(row[1]))
+                    held[-1][7] = True
                 else:
-                    held.append([*row, 1])
+                    held.append([*row])
             yield flush()
         close()
         yield flush()
