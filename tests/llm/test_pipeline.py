@@ -1,26 +1,99 @@
+"""Each stage against a plain version of what it promises, on the given tables and on a table full of edges."""
+
+import random
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
 import corpus_pipeline
-from vecloom.llm import lines, quality
+from test_operators import jaccard_by_force
+from vecloom.llm import lines, mixing, quality, tokens
 
 SF = "/root/testdata/sf0.001"
+ROW = "doc_id long, text string, lang string, source string, n_chars long, cut string, n_removed string, th string, key string"
 
 
-def test_stages_keep_columns_and_take_effect(spark, tmp_path):
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
-    columns, seen = docs.columns, []
+def stages(spark, tmp_path, docs):
+    """The result of each stage as written and read again, the input first."""
+    out = [docs]
     for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
-        out = stage(spark, docs, SF)
-        out.write.parquet(str(tmp_path / str(k)))
-        before, docs = docs, spark.read.parquet(str(tmp_path / str(k)))
-        seen.append(docs.count())
-        if k < 4:
-            assert docs.columns == columns
-        if k == 0:
-            kept = {r.doc_id for r in docs.collect()}
-            want = {r.doc_id for r in quality.score(before, quality.fit(before, spark.read.parquet(f"{SF}/labels.parquet")), quality.KEEP_AT).collect() if r.kept}
-            assert kept == want and 0 < len(kept) < before.count()
-            assert not [d for d in kept if labels.get(d) == 0][3:]
-        if k == 1:
-            gone = {r.doc_id for r in lines.remove(before).collect() if r.n_removed and not (r.text or "").strip()}
-            assert {r.doc_id for r in before.collect()} - {r.doc_id for r in docs.collect()} == gone
-    assert seen[2] < seen[1] and seen[4] > 0
+        stage(spark, out[-1], SF).write.parquet(str(tmp_path / str(k)))
+        out.append(spark.read.parquet(str(tmp_path / str(k))))
+    return out
+
+
+def check(spark, done, columns):
+    docs, good, clean, single, mixed, packed = done
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    told = {r.doc_id: r.quality for r in labels.collect()}
+    for df in done[1:5]:
+        assert df.columns == columns
+    # quality rules
+    verdicts = Counter((r.doc_id, r.n_words) for r in quality.score(docs, quality.fit(docs, labels), quality.KEEP_AT).collect() if r.kept)
+    assert Counter((r.doc_id, len(r.text.encode().split())) for r in good.collect()) == verdicts and good.count() < docs.count()
+    assert not [r for r in good.collect() if told.get(r.doc_id) == 0][3:]
+    # line dedup
+    sites, rows = {}, good.collect()
+    for r in rows:
+        for line in r.text.split("\n"):
+            if line.strip(" \t\r"):
+                sites.setdefault(line.strip(" \t\r"), set()).add(r.source or "")
+    often = {line for line, s in sites.items() if len(s) >= 10}
+    before, after = {(r.doc_id, r.source): r.text for r in rows}, {(r.doc_id, r.source): r.text for r in clean.collect()}
+    for key, text in before.items():
+        left = [x for x in text.split("\n") if x.strip(" \t\r") not in often]
+        if key not in after:
+            assert not "\n".join(left).strip()
+        else:
+            assert [x for x in after[key].split("\n") if x.strip(" \t\r") not in often] == left
+    assert sum(x.strip(" \t\r") in often for t in after.values() for x in t.split("\n")) == len(often)
+    assert all(r.n_chars == len(r.text) for r in clean.collect() if before[r.doc_id, r.source] != r.text)
+    # near duplicates
+    rows = [r for r in clean.collect() if r.doc_id is not None]
+    if len({r.doc_id for r in rows}) == len(rows):
+        root = {d: c for d, _, c in jaccard_by_force(rows, 5, 80)}
+        assert {r.doc_id for r in single.collect() if r.doc_id is not None} == {d for d, c in root.items() if d == c}
+    # mixing
+    model = mixing.mix(single, labels).collect()
+    assert Counter(r.doc_id for r in mixed.collect()) == Counter({d: n for d, n in ((r.doc_id, r.copies) for r in model) if n})
+    # few poor or toxic documents are left, so the targets may be out of reach; the fit must come nearer to them
+    n, p, rate = np.array([r.tokens for r in model]), np.array([r.p for r in model]), np.array([r.rate for r in model])
+    target = np.array([0.9, 0.08, 0.02]) * 1.05 * (n @ p)[0] / 0.9
+    assert ((((n * rate) @ p - target) ** 2).sum()) < 0.5 * (((n @ p - target) ** 2).sum())
+    # packing
+    ids, have = Counter(), Counter()
+    for r in mixed.collect():
+        ids[r.doc_id] += len(tokens.ids(r.text)) + 1
+    for r in packed.collect():
+        have[r.doc_id] += r.length
+    assert ids == have
+
+
+def test_stages(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    check(spark, stages(spark, tmp_path, docs), docs.columns)
+
+
+def test_stages_on_odd_rows(spark, tmp_path):
+    """Nulls in any column, repeated rows, one id with several texts, clashing column names."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("*", *(F.lit("x").alias(c) for c in ("cut", "n_removed", "th", "key")))
+    rng = random.Random(4)
+    base = [r.text for r in docs.where("length(text) BETWEEN 600 AND 3000 AND lang = 'en'").orderBy("doc_id").limit(40).collect()]
+    some = [f"{a[:300]} {rng.random()} {b[300:600]}" for a, b in zip(base, base[1:], strict=False)]
+    rows = [(7001, some[0]), (7001, some[1]), (7002, some[2]), (7002, some[2]), (None, some[3]), (None, some[3]), (7003, None), (7004, ""), (7005, " \n ")]
+    odd = spark.createDataFrame([(i, t, None, None, None, None, None, None, None) for i, t in rows], ROW)
+    done = stages(spark, tmp_path, docs.unionByName(odd))
+    check(spark, done, docs.columns)
+    single = Counter((r.doc_id, r.text) for r in done[3].collect())
+    for i, t in rows[:6]:
+        if (i, t) in {(r.doc_id, r.text) for r in done[2].collect()}:
+            assert single[i, t] == 1
+
+
+@pytest.mark.parametrize("columns", [ROW, "doc_id long, text string, source string"])
+def test_stages_on_nothing(spark, tmp_path, columns):
+    docs = spark.createDataFrame([], columns)
+    done = stages(spark, tmp_path, docs)
+    assert [df.count() for df in done] == [0] * 6 and all(df.columns == docs.columns for df in done[:5])
