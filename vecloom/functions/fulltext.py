@@ -1,24 +1,42 @@
 """Ranked fulltext search: BM25 over postings, all in DataFrame operations.
 
-Tokens are runs of letters and digits, lower-cased. A query holds terms, ``term*`` prefixes, ``+must`` and ``-not``.
+Tokens come from an analyser: ``standard`` (runs of letters and digits, lower-cased), ``simple`` (runs of letters,
+lower-cased), ``whitespace`` (as they stand), ``english`` (standard without stop words and plural endings) or
+``soundex`` (standard, by sound; a phonetic code that Spark has stands for the one of the inventory).  A query holds
+terms, ``term*`` prefixes, ``+must`` and ``-not``, or AND, OR, NOT.  With an index, a search reads the postings of its
+terms; without, it tokenises the table.
 """
 
 from __future__ import annotations
 
 import functools
 import re
+from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 K1, B = 1.2, 0.75
 
+ANALYSERS = ("standard", "simple", "whitespace", "english", "soundex")
+#: English stop words (fixed values).
+STOP_WORDS = "a an and are as at be but by for if in into is it no not of on or such that the their then there these they this to was will with".split()
 
-def tokens(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
+def tokens(text: Column, analyser: str = "standard") -> Column:
+    analyser = analyser.lower()
+    if analyser not in ANALYSERS:
+        raise ValueError(f"no analyser {analyser}")
+    if analyser == "whitespace":
+        return F.filter(F.split(text, r"\s+"), lambda t: t != "")
+    words = F.filter(F.split(F.lower(text), r"[^\p{L}]+" if analyser == "simple" else r"[^\p{L}\p{N}]+"), lambda t: t != "")
+    if analyser == "english":
+        words = F.filter(words, lambda t: ~t.isin(STOP_WORDS))
+        words = F.transform(words, lambda t: F.when(t.rlike("^.{2,}[^su]s$"), F.regexp_replace(t, "s$", "")).otherwise(t))
+    return F.transform(words, lambda t: F.soundex(t)) if analyser == "soundex" else words
 
-def parse(query: str) -> tuple[list[str], list[str], list[str]]:
+
+def parse(query: str, lower: bool = True) -> tuple[list[str], list[str], list[str]]:
     """(optional, required, excluded) lower-case terms; a trailing * makes a prefix."""
     out: dict[str, list[str]] = {"": [], "+": [], "-": []}
     previous = ""
@@ -28,7 +46,7 @@ def parse(query: str) -> tuple[list[str], list[str], list[str]]:
             continue
         sign = word[0] if word[0] in "+-" else ""
         sign = {"AND": "+", "NOT": "-"}.get(previous, sign)
-        for term in re.findall(r"[^\W_]+\*?", word.lower()):
+        for term in re.findall(r"[^\W_]+\*?", word.lower()) if lower else [word.lstrip("+-")]:
             out[sign].append(term)
         if previous == "AND" and out[""]:
             out["+"].append(out[""].pop())
@@ -42,6 +60,20 @@ def _frequency(words: Column, term: str) -> Column:
     return F.size(F.filter(words, lambda t: t == term))
 
 
+def matches(text: Column, query: str) -> Column:
+    """Does the text match?"""
+    optional, must, never = parse(query)
+    words = tokens(text)
+    one = lambda x: F.exists(words, lambda t: t.startswith(x[:-1]) if x.endswith("*") else t == x)
+    some = lambda terms: list(map(one, terms))
+    hit = functools.reduce(lambda a, b: a | b, some([*optional, *must]), F.lit(False))
+    return functools.reduce(lambda a, b: a & b, [*some(must), *(~x for x in some(never))], hit)
+
+
+def _idf(n: Column, freq: Column) -> Column:
+    return F.log(1 + (n - freq + 0.5) / (freq + 0.5))
+
+
 def scored(df: DataFrame, column: str, query: str, alias: str = "score") -> DataFrame:
     """Rows of ``df`` that match, with their score. Counts cover the whole table; one small aggregate, no shuffle of texts."""
     optional, must, never = parse(query)
@@ -56,8 +88,7 @@ def scored(df: DataFrame, column: str, query: str, alias: str = "score") -> Data
     score = F.lit(0.0)
     for k in range(len(terms)):
         tf, freq = F.col(f"_tf{k}"), F.col(f"_df{k}")
-        idf = F.log(1 + (F.col("_n") - freq + 0.5) / (freq + 0.5))
-        score = score + idf * tf / (tf + K1 * (1 - B + B * F.col("_len") / F.col("_mean")))
+        score = score + _idf(F.col("_n"), freq) * tf / (tf + K1 * (1 - B + B * F.col("_len") / F.col("_mean")))
     hit = functools.reduce(lambda a, b: a | b, [F.col(f"_tf{k}") > 0 for k in range(len(terms))], F.lit(False))
     for t in must:
         hit = hit & (F.col(f"_tf{terms.index(t)}") > 0)
@@ -67,7 +98,61 @@ def scored(df: DataFrame, column: str, query: str, alias: str = "score") -> Data
     return df.where(hit).withColumn(alias, score).drop(*made)
 
 
-def postings(df: DataFrame, key: str, column: str) -> DataFrame:
-    """The inverted index as a table: term, key, tf, len. Written sorted by term, a lookup reads a few row groups."""
-    exploded = df.select(key, F.size(tokens(F.col(column))).alias("len"), F.explode(tokens(F.col(column))).alias("term"))
-    return exploded.groupBy("term", key, "len").agg(F.count(F.lit(1)).alias("tf"))
+def postings(df: DataFrame, key: str, column: str, analyser: str = "standard") -> DataFrame:
+    """The inverted index as a table: term, key, tf, len. Written sorted by term, a lookup reads a few row groups.
+
+    The whole text of each row is one more term, kept as a hash behind a character that no token has, for look-ups by ``=``.
+    """
+    words = df.select(key, tokens(F.col(column), analyser).alias("words"), verbatim(F.col(column)).alias("whole"))
+    # the words are counted before they are exploded, so neither they nor their number are carried or computed per word
+    exploded = words.select(key, F.size("words").alias("len"), "words").select(key, "len", F.explode("words").alias("term"))
+    counted = exploded.groupBy("term", key, "len").agg(F.count(F.lit(1)).alias("tf"))
+    whole = words.where(F.col("whole").isNotNull()).select(F.col("whole").alias("term"), key, F.size("words").alias("len"), F.lit(1).cast("long").alias("tf"))
+    return counted.unionByName(whole)
+
+
+def verbatim(text: Column) -> Column:
+    """The term that stands for a whole text."""
+    return F.when(text.isNotNull(), F.concat(F.lit("\x00"), F.hex(F.xxhash64(text))))
+
+
+def totals(df: DataFrame, column: str, analyser: str = "standard") -> dict[str, Any]:
+    """Number of texts and their mean length."""
+    row = df.agg(F.count(column), F.avg(F.size(tokens(F.col(column), analyser)))).first()
+    return {"texts": row[0], "mean": float(row[1] or 1)}
+
+
+def _hit(term: str, analyser: str) -> Column:
+    """The posting is of ``term``, which goes through the analyser as the texts did; a constant, so the scan is pruned by it."""
+    if term.endswith("*"):
+        return F.col("term").startswith(term[:-1])
+    word = F.lit(term)
+    if analyser == "soundex":
+        word = F.soundex(word)
+    elif analyser == "english":
+        word = F.when(word.rlike("^.{2,}[^su]s$"), F.regexp_replace(word, "s$", "")).otherwise(word)
+    return F.col("term") == word
+
+
+def search(postings: DataFrame, key: str, totals: dict[str, Any], query: str, alias: str = "score", analyser: str = "standard") -> DataFrame:
+    """key and score of the texts that match, from the postings of the query's terms alone."""
+    optional, must, never = parse(query, analyser != "whitespace")
+    hit_of = functools.partial(_hit, analyser=analyser)
+    terms = list(dict.fromkeys([*optional, *must]))
+    if not terms:
+        return postings.select(key, F.lit(0.0).alias(alias)).limit(0)
+    read = postings.where(functools.reduce(lambda a, b: a | b, map(hit_of, [*terms, *never])))
+    tf = {f"_tf{k}": F.sum(F.when(hit_of(t), F.col("tf")).otherwise(0)).alias(f"_tf{k}") for k, t in enumerate(terms)}
+    no = [F.max(functools.reduce(lambda a, b: a | b, map(hit_of, never))).alias("_no")] if never else []
+    grouped = read.groupBy(key).agg(F.max("len").alias("_len"), *tf.values(), *no)
+    # one row of document frequencies: a broadcast of fixed size
+    freq = grouped.agg(*(F.count_if(F.col(t) > 0).alias(f"_df{k}") for k, t in enumerate(tf)))
+    score, n = F.lit(0.0), F.lit(totals["texts"])
+    for k, t in enumerate(tf):
+        score = score + _idf(n, F.col(f"_df{k}")) * F.col(t) / (F.col(t) + K1 * (1 - B + B * F.col("_len") / F.lit(totals["mean"])))
+    hit = functools.reduce(lambda a, b: a | b, [F.col(t) > 0 for t in tf])
+    for t in must:
+        hit = hit & (F.col(f"_tf{terms.index(t)}") > 0)
+    if never:
+        hit = hit & ~F.col("_no")
+    return grouped.crossJoin(F.broadcast(freq)).where(hit).select(key, score.alias(alias))

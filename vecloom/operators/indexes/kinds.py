@@ -1,26 +1,40 @@
 """The seven index kinds.
 
-``build`` makes the side table of an index with one Spark job over all rows; models (marks, code books, hyperplanes) are
-small driver-side arrays, fitted on a bounded sample where they are learned.  ``candidates`` narrows a table to the rows
-that can answer a nearest- or farthest-neighbour query; exact kinds never lose an answer.
+``build`` makes an index's side table with one Spark job over all rows and, given a path, stores table and model there, from
+where ``load`` takes them again.  The side tables of vectors hold a row key and a code; the vectors of the few rows that
+the codes leave are fetched by key (late materialisation).  Those of ``btree`` hold the rows in the order of the column, so a
+look-up reads the row groups of its range alone; those of ``lucene`` hold postings in the order of the term.
+
+Models (marks, code books, hyperplanes) are small driver-side arrays, fitted on a bounded sample where they are learned.
+Exact kinds never lose an answer.  ``reads`` is the share of the vectors that a query for ten neighbours has to read,
+measured on the sample when the index is built.
 """
 
 from __future__ import annotations
 
+import base64
+import json
 from dataclasses import dataclass, field
+from functools import reduce
 from typing import Any
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from vecloom.functions import fulltext
 from vecloom.functions import vectors as V
+from vecloom.operators.predicates import Predicate
 
 #: Least share of the rows that are re-ranked by exact distance after a look-up by codes; with the defaults of LSH and IVFPQ
 #: below it is chosen for a recall of 0.9 or more on vectors without clusters (64 dimensions).
 RERANK = 0.1
 
 KINDS = ("btree", "btree_uq", "lucene", "vaf", "pq", "ivfpq", "lsh")
+#: What each kind of index on a scalar column answers.
+ANSWERS = {"btree": ("=", "in", "between", "<", "<=", ">", ">=", "prefix"), "btree_uq": ("=", "in"), "lucene": ("=", "match", "prefix")}
 
 
 @dataclass
@@ -28,6 +42,7 @@ class Index:
     kind: str
     name: str
     column: str
+    key: str
     table: DataFrame
     model: dict[str, Any] = field(default_factory=dict)
     exact: bool = True
@@ -37,81 +52,123 @@ class Index:
     def supports(self, function: str) -> bool:
         return function in {"vaf": ("manhattan", "euclidean", "squaredeuclidean"), "pq": (self.model.get("distance"),), "ivfpq": (self.model.get("distance"),), "lsh": ("cosine",)}.get(self.kind, ())
 
-    # Boolean look-ups
+    # Boolean and fulltext look-ups
+    def answers(self, p: Predicate) -> bool:
+        if self.kind == "lucene" and p.op != "=" and self.model["analyser"] != "standard":
+            return False  # MATCH and LIKE mean standard words
+        return p.name == self.column and p.op in ANSWERS.get(self.kind, ()) and all(v is not None for v in p.values)
+
+    def rows(self, p: Predicate, df: DataFrame) -> DataFrame:
+        """The rows of ``df`` that the predicate may hold for; the planner applies the predicate to them again."""
+        if self.kind != "lucene":
+            return self.table.where(p.column())
+        if p.op == "match":
+            hits = self.scores(p.values[0], "_score").select(self.key)
+        else:  # a prefix of the text begins with its first word
+            term = F.col("term") == fulltext.verbatim(F.lit(p.values[0])) if p.op == "=" else ~F.col("term").startswith("\x00")
+            first = fulltext.parse(p.values[0])[0][:1]
+            if p.op == "prefix" and first:
+                term = F.col("term").startswith(first[0].rstrip("*"))
+            hits = self.table.where(term).select(self.key)
+        return df.join(hits, self.key, "left_semi")
+
     def lookup(self, values: list) -> DataFrame:
-        """Rows with one of the given keys (or documents with one of the terms): a pruned read of the sorted side table."""
-        return self.table.where(F.col(self.model.get("key", self.column)).isin(*values))
+        """The side table's rows for the given keys or terms."""
+        return self.table.where(F.col("term" if self.kind == "lucene" else self.column).isin(*values))
 
     def between(self, low: Any, high: Any) -> DataFrame:
         return self.table.where(F.col(self.column).between(*sorted((low, high))))
 
+    def scores(self, query: str, alias: str) -> DataFrame:
+        """key and score of all texts that match."""
+        return fulltext.search(self.table, self.key, self.model, query, alias, self.model["analyser"])
+
     # neighbours
     def candidates(self, df: DataFrame, query: list[float], function: str, k: int, farthest: bool = False) -> DataFrame:
+        """The rows of ``df`` among which its ``k`` nearest (or farthest) are; for kinds that are not exact, most of them.
+
+        ``df`` must be the indexed table, whole.
+        """
         make = {"vaf": self._vaf, "pq": self._codes, "ivfpq": self._codes, "lsh": self._lsh}[self.kind]
-        return make(query, function, k, farthest)
+        return df.join(make(np.asarray(query, float), function, k, farthest), self.key, "left_semi")
+
+    def distances(self, query: list[float], function: str) -> DataFrame:
+        """key and approximate distance of every row, from the codes alone (PQ, IVFPQ: of the probed cells)."""
+        q, tables = np.asarray(query, float), self.table
+        if self.kind not in ("pq", "ivfpq"):
+            raise ValueError(f"{self.kind} does not approximate distances")
+        if self.kind == "ivfpq":
+            tables = tables.where(F.col("_cell").isin(*self._probed(q, False)))
+        return self._approximate(tables, q, function).withColumn("_approx", F.sqrt("_approx") if function == "euclidean" else F.col("_approx"))
 
     def _vaf(self, query, function, k, farthest):
-        """Rows whose bounds reach the k-th best bound: one pass over signatures, one top-k of bounds."""
-        low, step = self.model["low"], self.model["step"]
-        cell = F.col("_cells")
-        near, far = [], []
-        for j, q in enumerate(query):
-            if step[j] == 0:  # all values of this component are equal
-                gap = F.lit(abs(float(q) - low[j]))
-                near.append(gap)
-                far.append(gap)
-                continue
-            a = F.lit(float(low[j])) + F.get(cell, F.lit(j)).cast("double") * F.lit(float(step[j]))
-            b = a + F.lit(float(step[j]))
-            near.append(F.greatest(a - F.lit(float(q)), F.lit(float(q)) - b, F.lit(0.0)))
-            far.append(F.greatest(F.abs(a - F.lit(float(q))), F.abs(F.lit(float(q)) - b)))
+        """Keys of the rows whose bounds reach the k-th best bound; each task keeps its own best, then all are compared."""
+        low, step, marks = self.model["low"], self.model["step"], self.model["marks"]
+        edge = low + step * np.arange(marks)[:, None]  # marks x dimensions
+        below, above = edge[:-1], edge[1:]
+        near = np.maximum(np.maximum(below - query, query - above), 0)
+        far = np.maximum(np.abs(below - query), np.abs(above - query))
         power = 1 if function == "manhattan" else 2
-
-        def total(parts):
-            parts = [p if power == 1 else p * p for p in parts]
-            while len(parts) > 1:
-                parts = [parts[i] + parts[i + 1] if i + 1 < len(parts) else parts[i] for i in range(0, len(parts), 2)]
-            return parts[0]
-
-        slack = 1e-6  # bounds and distances round differently
-        bounds = self.table.withColumns({"_lb": total(near) * (1 - slack), "_ub": total(far) * (1 + slack)})
+        near, far = near**power * (1 - 1e-6), far**power * (1 + 1e-6)  # bounds and distances round differently
         if farthest:
-            level = bounds.select("_lb").orderBy(F.desc("_lb")).limit(k).agg(F.min("_lb"), F.count("*")).first()
-            hit = bounds.where(F.col("_ub") >= level[0]) if level[1] == k else bounds
-        else:
-            level = bounds.select("_ub").orderBy("_ub").limit(k).agg(F.max("_ub"), F.count("*")).first()
-            hit = bounds.where(F.col("_lb") <= level[0]) if level[1] == k else bounds
-        return hit.drop("_cells", "_lb", "_ub")
+            near, far = -far, -near
+        dims = np.arange(len(query))
+
+        def run(batches):
+            held = (np.zeros(0, np.int64), np.zeros(0), np.zeros(0))
+            for batch in batches:
+                cells = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+                new = (np.asarray(batch.column(0), np.int64), near[cells, dims].sum(axis=1), far[cells, dims].sum(axis=1))
+                held = tuple(np.concatenate(x) for x in zip(held, new, strict=True))
+                if len(held[0]) > k:
+                    stay = held[1] <= np.partition(held[2], k - 1)[k - 1]
+                    held = tuple(x[stay] for x in held)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in held], [key, "_low", "_high"])
+
+        key = self.key
+        found = self.table.select(key, "_cells").mapInArrow(run, f"`{key}` long, _low double, _high double")
+        level = found.orderBy("_high").limit(k).agg(F.max("_high").alias("_level"), F.count(F.lit(1)).alias("_n"))  # one row
+        return found.crossJoin(F.broadcast(level)).where((F.col("_n") < k) | (F.col("_low") <= F.col("_level"))).select(key)
+
+    def _probed(self, q, farthest) -> list[int]:
+        order = np.argsort(((self.model["coarse"] - q) ** 2).sum(1))
+        return [int(c) for c in (order[::-1] if farthest else order)[: self.model["probes"]]]
+
+    def _approximate(self, table, q, function) -> DataFrame:
+        books = self.model["books"]
+        parts, cost = np.array_split(np.arange(len(q)), len(books)), []
+        for book, dims in zip(books, parts, strict=True):
+            x = q[dims]
+            cost.append({"manhattan": np.abs(book - x).sum(1), "innerproduct": book @ x}.get(function, ((book - x) ** 2).sum(1)))
+        key, at = self.key, np.arange(len(books))
+        wide = np.zeros((len(books), max(map(len, cost))))
+        for s, c in enumerate(cost):
+            wide[s, : len(c)] = c
+
+        def run(batches):
+            for batch in batches:
+                codes = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u2").reshape(batch.num_rows, -1)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(wide[at, codes].sum(axis=1))], [key, "_approx"])
+
+        return table.select(key, "_codes").mapInArrow(run, f"`{key}` long, _approx double")
 
     def _codes(self, query, function, k, farthest):
-        """Best rows by table-looked-up distance, over-fetched for the exact re-ranking that follows."""
-        books, parts = self.model["books"], np.array_split(np.arange(len(query)), len(self.model["books"]))
-        terms = []
-        for s, (book, dims) in enumerate(zip(books, parts, strict=True)):
-            q = np.asarray(query, float)[dims]
-            cost = {"manhattan": np.abs(book - q).sum(1), "innerproduct": book @ q}.get(function, ((book - q) ** 2).sum(1))
-            terms.append(F.get(F.array(*(F.lit(float(c)) for c in cost)), F.get("_codes", F.lit(s)).cast("int")))
-        table = self.table
+        """Keys of the best rows by table-looked-up distance, over-fetched for the exact re-ranking that follows."""
+        table, read = self.table, 1.0
         if self.kind == "ivfpq":
-            centre = self.model["coarse"]
-            order = np.argsort(((centre - np.asarray(query, float)) ** 2).sum(1))
-            order = order[::-1] if farthest else order
-            table = table.where(F.col("_cell").isin(*(int(c) for c in order[: self.model["probes"]])))
-        approx = table.withColumn("_approx", sum(terms[1:], terms[0]))
-        read = self.model["probes"] / len(self.model["coarse"]) if self.kind == "ivfpq" else 1
+            table, read = table.where(F.col("_cell").isin(*self._probed(query, farthest))), self.model["probes"] / len(self.model["coarse"])
+        approx = self._approximate(table, query, function)
         share = max(RERANK, max(k * 10, 100) / max(1, self.model["rows"] * read)) + 0.001  # more than the percentile's error
-        if share < 1:
-            level = approx.agg(F.percentile_approx("_approx", 1 - share if farthest else share)).first()[0]
-            approx = approx.where(F.col("_approx") >= level if farthest else F.col("_approx") <= level)
-        return approx.drop("_approx", "_codes", "_cell")
+        if share >= 1:
+            return approx.select(self.key)
+        level = approx.agg(F.percentile_approx("_approx", 1 - share if farthest else share).alias("_level"))  # one row
+        keep = F.col("_approx") >= F.col("_level") if farthest else F.col("_approx") <= F.col("_level")
+        return approx.crossJoin(F.broadcast(level)).where(keep).select(self.key)
 
     def _lsh(self, query, function, k, farthest):
-        """Rows that share a bucket with the query (for the farthest: with its opposite) in at least one stage."""
-        marks = signatures(np.asarray([query], float) * (-1 if farthest else 1), self.model["planes"], self.model["stages"], self.model["buckets"])[0]
-        hit = F.lit(False)
-        for s, b in enumerate(marks):
-            hit = hit | (F.get("_buckets", F.lit(s)) == F.lit(int(b)))
-        return self.table.where(hit).drop("_buckets")
+        """Keys of rows that share a bucket with the query (for the farthest: with its opposite) in at least one stage."""
+        marks = signatures(query[None, :] * (-1 if farthest else 1), self.model["planes"], self.model["stages"], self.model["buckets"])[0]
+        return self.table.where(reduce(lambda a, b: a | b, [F.get("_buckets", F.lit(s)) == F.lit(int(b)) for s, b in enumerate(marks)])).select(self.key)
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 25, seed: int = 0) -> np.ndarray:
@@ -139,7 +196,7 @@ def nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
 
 def signatures(x: np.ndarray, planes: np.ndarray, stages: int, buckets: int) -> np.ndarray:
     bits = (x @ planes.T >= 0).reshape(len(x), stages, -1)
-    weight = (1 << np.arange(bits.shape[2], dtype=np.int64)) % 433494437
+    weight = (1 << np.arange(bits.shape[2], dtype=np.int64)) % 433494437  # (fixed value)
     return (bits @ weight) % buckets
 
 
@@ -148,68 +205,134 @@ def subspaces(d: int, wanted: int = 8) -> int:
     return next((s for s in range(wanted, min(32, d) + 1) if d % s == 0), next(s for s in range(min(wanted, d), 0, -1) if d % s == 0))
 
 
-def build(df: DataFrame, kind: str, name: str, column: str, **params: Any) -> Index:
-    """Build an index of ``df``. Learned models are fitted on at most ``sample`` rows (default 20,000); every row is indexed."""
+def cells_of(x: np.ndarray, low: np.ndarray, step: np.ndarray, marks: int) -> np.ndarray:
+    return np.clip(np.floor((x - low) / np.where(step == 0, 1, step)), 0, marks - 2).astype(np.uint8)
+
+
+def encoded(df: DataFrame, key: str, column: str, name: str, code: Any, extra: Any = None) -> DataFrame:
+    """key, the bytes ``code`` makes of each vector and, with ``extra``, a number per vector as _cell."""
+
+    def run(batches):
+        for batch in batches:
+            v = batch.column(1)
+            x = np.asarray(v.flatten(), float).reshape(batch.num_rows, -1)
+            out = [batch.column(0), pa.array([r.tobytes() for r in code(x)], pa.binary())]
+            if extra is not None:
+                out.append(pa.array(extra(x).astype(np.int32)))
+            yield pa.RecordBatch.from_arrays(out, [key, name, "_cell"][: len(out)])
+
+    return df.select(F.col(key).cast("long").alias(key), column).mapInArrow(run, f"`{key}` long, {name} binary" + (", _cell int" if extra is not None else ""))
+
+
+def sampled(df: DataFrame, column: str, most: int) -> np.ndarray:
+    """About ``most`` vectors at most."""
+    some = df.select(column).sample(min(1.0, most / max(1, df.count())), seed=1).limit(2 * most).toPandas()[column]
+    return np.array([np.asarray(v, float) for v in some]).reshape(len(some), -1)
+
+
+def share_read(x: np.ndarray, low: np.ndarray, step: np.ndarray, marks: int, k: int = 10) -> float:
+    """Share of the sample whose bounds reach the k-th best bound, over some of its vectors as queries (L2)."""
+    if len(x) <= k:
+        return 1.0
+    edge, cells, dims, read = low + step * np.arange(marks)[:, None], cells_of(x, low, step, marks), np.arange(x.shape[1]), []
+    for q in x[:: max(1, len(x) // 20)]:
+        near = np.maximum(np.maximum(edge[:-1] - q, q - edge[1:]), 0)[cells, dims]
+        far = np.maximum(np.abs(edge[:-1] - q), np.abs(edge[1:] - q))[cells, dims]
+        read.append(((near**2).sum(1) <= np.partition((far**2).sum(1), k)[k]).mean())
+    return float(np.mean(read))
+
+
+def build(df: DataFrame, kind: str, name: str, column: str, key: str = "_tid", path: str | None = None, **params: Any) -> Index:
+    """Build an index of ``df``, whose rows ``key`` (a long) tells apart; with ``path``, store it there.
+
+    Learned models are fitted on about ``sample`` rows (default 20,000); every row is indexed.
+    """
     kind = kind.lower()
     if kind not in KINDS:
         raise ValueError(f"no index kind {kind}")
     if kind in ("btree", "btree_uq"):
         if kind == "btree_uq" and df.where(F.col(column).isNotNull()).groupBy(column).count().where("count > 1").limit(1).count():
             raise ValueError(f"{column} is not unique")
-        return Index(kind, name, column, df.orderBy(column), {"key": column})
+        return stored(Index(kind, name, column, key, df.orderBy(column)), path)
     if kind == "lucene":
-        from vecloom.functions import fulltext
-
-        key = params.get("key", "_tid")
-        return Index(kind, name, column, fulltext.postings(df, key, column).orderBy("term", key), {"key": "term"})
+        analyser = params.get("analyzer_type", "standard").lower()
+        table = fulltext.postings(df, key, column, analyser).orderBy("term", key)
+        return stored(Index(kind, name, column, key, table, fulltext.totals(df, column, analyser) | {"analyser": analyser}), path)
     usable = df.where(F.col(column).isNotNull())
     dim = usable.agg(F.max(F.size(column))).first()[0] or 0
+    usable = usable.where(F.size(column) == dim)
+    x = sampled(usable, column, int(params.get("sample", 20_000)))
     if kind == "vaf":
         marks = int(params.get("marks_per_dimension", 32))
-        if marks <= 3:
-            raise ValueError("a vector approximation needs more than 3 marks")
+        if not 3 < marks <= 256:
+            raise ValueError("a vector approximation needs more than 3 marks, and 256 at most")
         ends = usable.agg(*(f(F.col(column)[j]).cast("double").alias(f"{n}{j}") for n, f in (("a", F.min), ("b", F.max)) for j in range(dim))).first()
-        low, high = np.array(ends[:dim], float), np.array(ends[dim:], float)
+        low, high = np.array([e or 0.0 for e in ends[:dim]], float), np.array([e or 0.0 for e in ends[dim:]], float)
         step = (high - low) / (marks - 3)
         low = low - step  # one step of slack on either side
-        shifted = F.zip_with(F.col(column), F.array(*(F.lit(float(x)) for x in low)), lambda x, a: x.cast("double") - a)
-        cells = F.zip_with(shifted, F.array(*(F.lit(float(x or 1)) for x in step)), lambda x, s: F.least(F.greatest(F.floor(x / s), F.lit(0)), F.lit(marks - 2)).cast("short"))
-        return Index(kind, name, column, usable.withColumn("_cells", cells), {"low": low, "step": step, "marks": marks}, reads=0.1)
-    some = usable.select(column).orderBy(F.xxhash64(column)).limit(int(params.get("sample", 20_000))).toPandas()[column]
-    x = np.array([np.asarray(v, float) for v in some]).reshape(-1, dim)
+        table = encoded(usable, key, column, "_cells", lambda v: cells_of(v, low, step, marks))
+        return stored(Index(kind, name, column, key, table, {"low": low, "step": step, "marks": marks}, reads=share_read(x[:2000], low, step, marks)), path)
     if kind == "lsh":
         stages, buckets = int(params.get("stages", 20)), int(params.get("buckets", 50))
         per = max(1, min(stages * buckets // 2 // stages, 62, int(params.get("bits", 4))))
         rng, rows = np.random.default_rng(params.get("seed", 0)), []
-        while len(rows) < stages * per:  # orthogonal groups of at most dim planes
+        while len(rows) < stages * per and dim:  # orthogonal groups of at most dim planes
             rows.extend(np.linalg.qr(rng.standard_normal((dim, dim)))[0].T)
-        planes = np.array(rows[: stages * per])
+        planes = np.array(rows[: stages * per]).reshape(-1, dim)
 
         @F.pandas_udf("array<long>")
         def mark(v):
             return __import__("pandas").Series(list(signatures(np.array(v.tolist(), float), planes, stages, buckets)))
 
-        return Index(kind, name, column, usable.withColumn("_buckets", mark(column)), {"planes": planes, "stages": stages, "buckets": buckets}, exact=False, reads=0.75)
+        known = signatures(x[:2000], planes, stages, buckets) if len(x) else np.zeros((0, stages))
+        reads = float(np.mean([(known == known[i]).any(axis=1).mean() for i in range(0, len(known), max(1, len(known) // 20))])) if len(known) else 1.0
+        table = usable.select(F.col(key).cast("long").alias(key), mark(column).alias("_buckets"))
+        return stored(Index(kind, name, column, key, table, {"planes": planes, "stages": stages, "buckets": buckets}, exact=False, reads=reads), path)
     parts = np.array_split(np.arange(dim), subspaces(dim, int(params.get("subspaces", 8))))
     books = [kmeans(x[:, p], int(params.get("centroids", 256 if kind == "pq" else 512)), seed=int(params.get("seed", 0))) for p in parts]
     model: dict[str, Any] = {"books": books, "distance": params.get("distance", "euclidean"), "rows": usable.count()}
-    coarse = kmeans(x, int(params.get("coarse", 64)), seed=1) if kind == "ivfpq" else None
-
-    @F.pandas_udf("array<short>")
-    def encode(v):
-        m = np.array(v.tolist(), float)
-        return __import__("pandas").Series(list(np.stack([nearest(m[:, p], b) for p, b in zip(parts, books, strict=True)], axis=1).astype(np.int16)))
-
-    table = usable.withColumn("_codes", encode(column))
-    if coarse is not None:
-
-        @F.pandas_udf("int")
-        def cell(v):
-            return __import__("pandas").Series(nearest(np.array(v.tolist(), float), coarse).astype(np.int32))
-
+    code = lambda v: np.stack([nearest(v[:, p], b) for p, b in zip(parts, books, strict=True)], axis=1).astype("<u2")
+    reads, cell = RERANK, None
+    if kind == "ivfpq":
+        coarse = kmeans(x, int(params.get("coarse", 64)), seed=1)
         model |= {"coarse": coarse, "probes": int(params.get("probes", max(1, -(-len(coarse) * 3 // 4))))}
-        table = table.withColumn("_cell", cell(column))
-    return Index(kind, name, column, table, model, exact=False, reads=0.25 if kind == "ivfpq" else 0.2)
+        cell = lambda v: nearest(v, coarse)
+        reads = RERANK * model["probes"] / len(coarse)
+    table = encoded(usable, key, column, "_codes", code, cell)
+    if cell is not None:
+        table = table.orderBy("_cell")  # a probe reads the row groups of its cells
+    return stored(Index(kind, name, column, key, table, model, exact=False, reads=reads), path)
+
+
+# storing
+def _packed(x: Any) -> Any:
+    if isinstance(x, np.ndarray):
+        return {"array": base64.b64encode(np.ascontiguousarray(x, float).tobytes()).decode(), "shape": x.shape}
+    return [_packed(v) for v in x] if isinstance(x, list) else x
+
+
+def _unpacked(x: Any) -> Any:
+    if isinstance(x, dict) and "array" in x:
+        return np.frombuffer(base64.b64decode(x["array"]), float).reshape(x["shape"]).copy()
+    return [_unpacked(v) for v in x] if isinstance(x, list) else x
+
+
+def stored(index: Index, path: str | None) -> Index:
+    """The index with its side table and model written to ``path``; the model last, so a half-written index is none."""
+    if path is None:
+        return index
+    index.table.write.parquet(f"{path}/table")
+    told = {"kind": index.kind, "name": index.name, "column": index.column, "key": index.key, "exact": index.exact, "reads": index.reads, "schema": index.table.schema.jsonValue(), "model": {k: _packed(v) for k, v in index.model.items()}}
+    spark = index.table.sparkSession
+    spark.createDataFrame([(json.dumps(told),)], "value string").coalesce(1).write.text(f"{path}/model")
+    index.table = spark.read.schema(index.table.schema).parquet(f"{path}/table")
+    return index
+
+
+def load(spark: SparkSession, path: str) -> Index:
+    told = json.loads(spark.read.text(f"{path}/model", wholetext=True).first()[0])
+    table = spark.read.schema(T.StructType.fromJson(told["schema"])).parquet(f"{path}/table")
+    return Index(told["kind"], told["name"], told["column"], told["key"], table, {k: _unpacked(v) for k, v in told["model"].items()}, told["exact"], told["reads"])
 
 
 def enn(df: DataFrame, column: str, query: list[float], function: str, radius: float) -> DataFrame:

@@ -1,4 +1,4 @@
-"""ANALYZE: one aggregate per group of columns, as (dbo, key, value) rows."""
+"""ANALYZE: one aggregate over all columns, as (dbo, key, value) rows. Vectors of a declared dimension are measured component by component."""
 
 from __future__ import annotations
 
@@ -18,6 +18,16 @@ def measures(df: DataFrame, exact_distinct: bool = False) -> list[tuple[str, str
         if isinstance(f.dataType, T.NumericType):
             x = c.cast("double")
             out += [(f.name, k, g(x)) for k, g in (("min", F.min), ("max", F.max), ("sum", F.sum), ("mean", F.avg), ("variance", F.var_samp), ("skewness", F.skewness), ("kurtosis", F.kurtosis))]
+        elif isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, T.NumericType) and f.metadata.get("dim"):
+            x = lambda j, c=c: F.get(c, F.lit(j)).cast("double")
+            out += [(f.name, k, F.array(*(g(x(j)) for j in range(f.metadata["dim"])))) for k, g in (("min", F.min), ("max", F.max), ("sum", F.sum), ("mean", F.avg))]
+        elif isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, T.BooleanType) and f.metadata.get("dim"):
+            out += [(f.name, k, F.array(*(F.count_if(F.get(c, F.lit(j)) == v) for j in range(f.metadata["dim"])))) for k, v in (("true", True), ("false", False))]
+        elif isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, T.StructType) and f.metadata.get("dim"):
+            x = lambda j, r, c=c: F.get(c, F.lit(j))[r].cast("double")
+            out += [(f.name, f"{k}_{r}", F.array(*(g(x(j, r)) for j in range(f.metadata["dim"])))) for k, g in (("sum", F.sum), ("mean", F.avg)) for r in ("re", "im")]
+        elif isinstance(f.dataType, T.StructType):
+            out += [(f.name, f"{k}_{r}", g(c[r].cast("double"))) for k, g in (("sum", F.sum), ("mean", F.avg)) for r in ("re", "im")]
         elif isinstance(f.dataType, T.BooleanType):
             out += [(f.name, "true", F.count_if(c)), (f.name, "false", F.count_if(~c))]
         elif isinstance(f.dataType, T.StringType | T.BinaryType):
@@ -41,3 +51,16 @@ def vector_stats(df: DataFrame, column: str) -> DataFrame:
     parts = df.select(F.posexplode(column).alias("component", "x"))
     x = F.col("x").cast("double")
     return parts.groupBy("component").agg(F.count("x").alias("n"), F.min(x).alias("min"), F.max(x).alias("max"), F.sum(x).alias("sum"), F.avg(x).alias("mean"))
+
+
+def boolean_vector_stats(df: DataFrame, column: str) -> DataFrame:
+    """How often each component is true and false."""
+    parts = df.select(F.posexplode(column).alias("component", "x"))
+    return parts.groupBy("component").agg(F.count_if("x").alias("true"), F.count_if(~F.col("x")).alias("false"))
+
+
+def complex_vector_stats(df: DataFrame, column: str) -> DataFrame:
+    """Component-wise count, sum and mean of a complex vector column, real and imaginary."""
+    parts = df.select(F.posexplode(column).alias("component", "x"))
+    sums = [g(F.col(f"x.{k}").cast("double")).alias(f"{name}_{k}") for name, g in (("sum", F.sum), ("mean", F.avg)) for k in ("re", "im")]
+    return parts.groupBy("component").agg(F.count("x").alias("n"), *sums)

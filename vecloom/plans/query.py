@@ -47,8 +47,12 @@ class Query:
         return self.function("fulltext", column, text, alias=alias)
 
     # WHERE
-    def where(self, predicate: Column | tuple) -> Query:
-        return replace(self, filters=(*self.filters, predicate if isinstance(predicate, Column) else P.compare(*predicate)))
+    def where(self, predicate: P.Predicate | Column | tuple) -> Query:
+        return replace(self, filters=(*self.filters, P.of(predicate)))
+
+    def match(self, column: str, query: str) -> Query:
+        """Rows whose text matches a fulltext query."""
+        return self.where(P.match(column, query))
 
     def where_in_query(self, column: str, sub: Query | DataFrame) -> Query:
         return replace(self, semi=(*self.semi, (column, sub)))
@@ -96,7 +100,8 @@ class Query:
         return replace(self, mode=kind, columns=columns)
 
     def hint(self, **hints: Any) -> Query:
-        """use_index: False, True, a name or a type; approx: allow approximate indexes; parallelism: most partitions."""
+        """use_index: False, True, a name or a type; approx: allow approximate indexes; parallelism: most partitions;
+        policy: weights of (io, cpu, memory, accuracy) by which plans are ranked."""
         return replace(self, hints=self.hints | hints)
 
     def frame(self) -> DataFrame:
@@ -109,6 +114,12 @@ class Query:
 
         return planner.explain(self, mode)
 
+    def explain_plans(self) -> DataFrame:
+        """The plans that were considered, ranked, with the cost of each of their steps."""
+        from vecloom.plans import planner
+
+        return planner.explained(self)
+
 
 def _frame(source: Any) -> DataFrame:
     if isinstance(source, DataFrame):
@@ -118,8 +129,16 @@ def _frame(source: Any) -> DataFrame:
 
 def with_functions(df: DataFrame, functions: tuple) -> DataFrame:
     for name, args, alias in functions:
-        columns = [F.col(a) if isinstance(a, str) else F.lit(a) if isinstance(a, bool | int | float) and name not in ("hyperplane",) else a for a in args]
-        df = df.withColumn(alias, V.lookup(name)(*columns))
+        types = {f.name: V.kind_of(f.dataType) for f in df.schema}
+        known = [types.get(a) if isinstance(a, str) else V.kind_of(df.select(a).schema[0].dataType) if isinstance(a, Column) else None for a in args]
+        for a, kind in zip(args, known, strict=True):
+            if isinstance(a, str) and kind is None:
+                raise ValueError(f"no column {a}")
+        other = next((k for k in known if k), "")
+        kinds = [k or V.literal_kind(a, other) for k, a in zip(known, args, strict=True)]
+        # the builders take vectors by name and as lists
+        columns = [a if isinstance(a, Column | list | tuple) or k.endswith("[]") else F.col(a) if isinstance(a, str) else V.number(a) for a, k in zip(args, kinds, strict=True)]
+        df = df.withColumn(alias, V.resolve(name, kinds)(*columns))
     return df
 
 
@@ -141,11 +160,16 @@ def project(df: DataFrame, q: Query) -> DataFrame:
         return df.limit(1).agg((F.count(F.lit(1)) > 0).alias(q.columns[0]))
     if q.mode in ("sum", "min", "max", "mean"):
         made = {"sum": lambda c: F.sum(F.col(c).cast("double")), "min": F.min, "max": F.max, "mean": F.avg}[q.mode]
-        kinds = dict(df.dtypes)
+        kinds = {f.name: V.kind_of(f.dataType) for f in df.schema}
+        out = []
         for c in q.columns:
-            if kinds[c] not in ("tinyint", "smallint", "int", "bigint", "float", "double"):
+            if kinds[c].startswith("complex") and not kinds[c].endswith("[]") and q.mode in ("sum", "mean"):
+                out.append(F.struct(*((F.sum if q.mode == "sum" else F.avg)(F.col(c)[x].cast("double")).alias(x) for x in ("re", "im"))))
+            elif kinds[c] in ("int", "real"):
+                out.append(made(c))
+            else:
                 raise ValueError(f"{c} is not numeric")
-        return df.agg(*(made(c).alias(f"{q.mode}_{c}") for c in q.columns))
+        return df.agg(*(x.alias(f"{q.mode}_{c}") for x, c in zip(out, q.columns, strict=True)))
     picked = []
     for c in q.columns or ("*",):
         if c == "*":
@@ -155,6 +179,8 @@ def project(df: DataFrame, q: Query) -> DataFrame:
                 raise ValueError("* takes no alias")
             picked.append(F.col(c[0]).alias(c[1]))
         else:
+            if isinstance(c, str) and sum(x.lower() == c.lower() for x in df.columns) != 1:
+                raise ValueError(f"{c} is {'ambiguous' if c in df.columns else 'no column'}")
             picked.append(c if isinstance(c, Column) else F.col(c))
     out = df.select(*picked)
     if len({x.lower() for x in out.columns}) < len(out.columns):

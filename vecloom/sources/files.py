@@ -1,8 +1,13 @@
-"""Import, dump and restore: CSV, JSON and Parquet folders with a manifest."""
+"""Import, dump and restore: CSV, JSON and Parquet folders, or zip files of them, with a manifest."""
 
 from __future__ import annotations
 
 import json
+import shutil
+import tempfile
+import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,14 +45,67 @@ def load(entity: Entity, path: str, form: str) -> Entity:
 
 
 def dump(entity: Entity, path: str, form: str = "json") -> None:
-    """Write batches and a manifest from which ``restore`` can recreate the entity."""
+    """Write batches and a manifest from which ``restore`` can recreate the entity; a path that ends in .zip becomes one file."""
+    if path.endswith(".zip"):
+        folder = f"{path}-{uuid.uuid4().hex}"
+        try:
+            dump(entity, folder, form)
+            _zip(entity.catalog, folder, path)
+        finally:
+            _fs(entity.catalog, folder)[0].delete(_fs(entity.catalog, folder)[1], True)
+        return
     write(entity.frame().drop("_tid"), f"{path}/data", form)
     manifest = {"entity": entity.name, "format": form, "schema": entity.meta["schema"], "rows": entity.meta["rows"]}
     entity.catalog.spark.createDataFrame([(json.dumps(manifest),)], "value string").coalesce(1).write.text(f"{path}/manifest")
 
 
+def _fs(catalog: Catalog, path: str):
+    where = catalog.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(catalog.spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def _zip(catalog: Catalog, folder: str, path: str) -> None:
+    """Copy a folder into a zip file, one part at a time, by way of a file of the driver."""
+    jvm = catalog.spark.sparkContext._jvm
+    fs, where = _fs(catalog, folder)
+    base = len(fs.getFileStatus(where).getPath().toString()) + 1
+    with tempfile.TemporaryDirectory() as own:
+        with zipfile.ZipFile(f"{own}/all.zip", "w", zipfile.ZIP_DEFLATED) as out:
+            found = fs.listFiles(where, True)
+            while found.hasNext():
+                part = found.next().getPath()
+                fs.copyToLocalFile(False, part, jvm.org.apache.hadoop.fs.Path(f"file://{own}/part"), True)
+                out.write(f"{own}/part", part.toString()[base:])
+                Path(f"{own}/part").unlink()
+        target, place = _fs(catalog, path)
+        target.copyFromLocalFile(True, True, jvm.org.apache.hadoop.fs.Path(f"file://{own}/all.zip"), place)
+
+
+def _unzip(catalog: Catalog, path: str, folder: str) -> None:
+    jvm = catalog.spark.sparkContext._jvm
+    fs, where = _fs(catalog, path)
+    target, _ = _fs(catalog, folder)
+    with tempfile.TemporaryDirectory() as own:
+        fs.copyToLocalFile(False, where, jvm.org.apache.hadoop.fs.Path(f"file://{own}/all.zip"), True)
+        with zipfile.ZipFile(f"{own}/all.zip") as found:
+            for name in found.namelist():
+                if ".." in Path(name).parts or Path(name).is_absolute():
+                    raise ValueError("the archive has a path outside itself")
+                with found.open(name) as part, open(f"{own}/part", "wb") as out:
+                    shutil.copyfileobj(part, out)
+                target.copyFromLocalFile(True, True, jvm.org.apache.hadoop.fs.Path(f"file://{own}/part"), jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}"))
+
+
 def restore(catalog: Catalog, path: str, name: str | None = None) -> Entity:
     """Create schema and entity as needed and load the dump; nothing is visible before all rows are."""
+    if path.endswith(".zip"):
+        folder = f"{path}-{uuid.uuid4().hex}"
+        try:
+            _unzip(catalog, path, folder)
+            return restore(catalog, folder, name)
+        finally:
+            fs, where = _fs(catalog, folder)
+            fs.delete(where, True)
     manifest = json.loads(catalog.spark.read.text(f"{path}/manifest").first()[0])
     name = (name or manifest["entity"]).lower()
     catalog.create_schema(name.split(".")[0], may_exist=True)
@@ -65,6 +123,20 @@ def dump_schema(catalog: Catalog, schema: str, path: str, form: str = "json") ->
         dump(catalog.entity(row.dbo), f"{path}/{row.dbo}", form)
 
 
+def restore_schema(catalog: Catalog, path: str, schema: str | None = None) -> list[Entity]:
+    """Restore every entity of a dumped schema, under another schema's name if one is given; all of them or none."""
+    fs, where = _fs(catalog, path)
+    made = []
+    try:
+        for name in sorted(x.getPath().getName() for x in fs.listStatus(where)):
+            made.append(restore(catalog, f"{path}/{name}", f"{schema or name.split('.')[0]}.{name.split('.')[1]}"))
+    except Exception:
+        for entity in made:
+            catalog.drop_entity(entity.name)
+        raise
+    return made
+
+
 def pages(df: DataFrame, rows: int = 1000):
     """The result in pages, one partition at a time."""
     page = []
