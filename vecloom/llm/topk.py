@@ -76,7 +76,7 @@ def score(q: np.ndarray, v: np.ndarray) -> int:
     return max(-LONG - 1, min(LONG, sum(int(a) * int(b) for a, b in zip(q.tolist(), v.tolist(), strict=True))))
 
 
-def search(table: DataFrame, queries: Column, k: int = 10, block: int = 4096, visit: int = 4096) -> DataFrame:
+def search(table: DataFrame, queries: Column, k: int = 10, block: int = 4096, visit: int = 256) -> DataFrame:
     """query_id, rank, vec_id, score. ``table``: vec_id, v as ``integers`` makes them; ``queries``: which of its rows are queries."""
     spark = table.sparkSession
     stored, low, width = build(table)
