@@ -78,7 +78,8 @@ def scored(df: DataFrame, column: str, query: str, alias: str = "score") -> Data
     """Rows of ``df`` that match, with their score. Counts cover the whole table; one small aggregate, no shuffle of texts."""
     optional, must, never = parse(query)
     terms = list(dict.fromkeys([*optional, *must]))
-    words = tokens(F.col(column))
+    df = df.withColumn("_words", tokens(F.col(column)))  # a column of its own, so that it is computed once per row
+    words = F.col("_words")
     df = df.withColumn("_len", F.size(words)).withColumns({f"_tf{k}": _frequency(words, t) for k, t in enumerate(terms)})
     if never:
         df = df.withColumn("_no", functools.reduce(lambda a, b: a | b, [_frequency(words, t) > 0 for t in never]))
@@ -94,7 +95,7 @@ def scored(df: DataFrame, column: str, query: str, alias: str = "score") -> Data
         hit = hit & (F.col(f"_tf{terms.index(t)}") > 0)
     if never:
         hit = hit & ~F.col("_no")
-    made = [c for c in df.columns if re.fullmatch(r"_tf\d+|_df\d+|_len|_no|_n|_mean", c)]
+    made = [c for c in df.columns if re.fullmatch(r"_tf\d+|_df\d+|_words|_len|_no|_n|_mean", c)]
     return df.where(hit).withColumn(alias, score).drop(*made)
 
 

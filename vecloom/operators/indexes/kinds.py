@@ -102,7 +102,7 @@ class Index:
         return self._approximate(tables, q, function).withColumn("_approx", F.sqrt("_approx") if function == "euclidean" else F.col("_approx"))
 
     def _vaf(self, query, function, k, farthest):
-        """Keys of the rows whose bounds reach the k-th best bound; each task keeps its own best, then all are compared."""
+        """Keys of the rows whose bounds reach the k-th best bound of their task, which the k-th best of all tasks is within."""
         low, step, marks = self.model["low"], self.model["step"], self.model["marks"]
         edge = low + step * np.arange(marks)[:, None]  # marks x dimensions
         below, above = edge[:-1], edge[1:]
@@ -123,12 +123,10 @@ class Index:
                 if len(held[0]) > k:
                     stay = held[1] <= np.partition(held[2], k - 1)[k - 1]
                     held = tuple(x[stay] for x in held)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in held], [key, "_low", "_high"])
+            yield pa.RecordBatch.from_arrays([pa.array(held[0])], [key])
 
         key = self.key
-        found = self.table.select(key, "_cells").mapInArrow(run, f"`{key}` long, _low double, _high double")
-        level = found.orderBy("_high").limit(k).agg(F.max("_high").alias("_level"), F.count(F.lit(1)).alias("_n"))  # one row
-        return found.crossJoin(F.broadcast(level)).where((F.col("_n") < k) | (F.col("_low") <= F.col("_level"))).select(key)
+        return self.table.select(key, "_cells").mapInArrow(run, f"`{key}` long")
 
     def _probed(self, q, farthest) -> list[int]:
         order = np.argsort(((self.model["coarse"] - q) ** 2).sum(1))

@@ -258,8 +258,8 @@ class _Indexed:
         return [self.index]
 
 
-#: Paths of the indexes that this session has stored, by what they index.
-_stored: dict[tuple, str] = {}
+#: Indexes that this session has stored, by what they index.
+_stored: dict[tuple, kinds.Index] = {}
 
 
 def indexed(spark: SparkSession, sf_dir: str, kind: str, name: str = "embeddings", column: str = "embedding", key: str = "vec_id", **params) -> Query:
@@ -267,10 +267,8 @@ def indexed(spark: SparkSession, sf_dir: str, kind: str, name: str = "embeddings
     what = (spark.sparkContext.applicationId, sf_dir, kind, name, column, *sorted(params.items()))
     df = table(spark, sf_dir, name)
     if what not in _stored:
-        path = f"{shared_dir(spark)}/vecloom/index-{uuid.uuid4().hex}"
-        kinds.build(df, kind, kind, column, key, path, **params)
-        _stored[what] = path
-    return Query(_Indexed(df, kinds.load(spark, _stored[what])))
+        _stored[what] = kinds.build(df, kind, kind, column, key, f"{shared_dir(spark)}/vecloom/index-{uuid.uuid4().hex}", **params)
+    return Query(_Indexed(df, _stored[what]))
 
 
 for _fn in ("manhattan", "euclidean", "squaredeuclidean"):
