@@ -134,7 +134,7 @@ def measured(docs: DataFrame, width: int, percent: int, often: np.ndarray, hot:
             found = sets(texts, hashes, width)
             fp = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in found]
             keys = [keys_of(s, percent, often) if len(s) else np.zeros(0, np.uint64) for s in found]
-            warm = [np.isin(k, hot) for k in keys]
+            warm = [hot[np.minimum(np.searchsorted(hot, k), len(hot) - 1)] == k if len(hot) else np.zeros(len(k), bool) for k in keys]
             yield pa.RecordBatch.from_arrays(
                 [
                     *(pa.array(x, pa.int64()) for x in (numbers, ids, ths, [len(s) for s in found])), pa.array(fp, pa.binary()),
