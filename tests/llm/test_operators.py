@@ -240,13 +240,16 @@ def test_packing_splits_a_large_group_of_copies_and_keeps_near_copies_together(s
     rng = random.Random(11)
     copy, near = words(rng, 300), words(rng, 300)
     rows = [(k, copy) for k in range(40)] + [(100 + k, near + f" {k}") for k in range(6)] + [(200 + k, words(rng, 300)) for k in range(30)] + [(None, "a")]
-    docs = spark.createDataFrame([(i, t, 1, 2, 3) for i, t in rows], "doc_id long, text string, profile int, p int, sketch int")
-    table = packing.dealt(packing.tokenised(docs), 8000).select("doc_id", "n", "p", "g", "s").collect()
+    docs = spark.createDataFrame([(i, t, 1, 2, 3) for i, t in rows], "doc_id long, text string, leaf int, p int, sketch int")
+    table = packing.dealt(packing.tokenised(docs, packing.tree(docs)), 8000).select("doc_id", "n", "p", "g", "s").collect()
     sizes = Counter()
     for r in table:
         sizes[r.p, r.g, r.s] += r.n
     assert len({(r.p, r.g, r.s) for r in table if r.doc_id is not None and r.doc_id < 40}) > 1
-    assert len({(r.p, r.g, r.s) for r in table if r.doc_id in range(100, 106)}) == 1
+    # near copies have one sketch; a branch that fits into a shard is one, a larger one is cut between leaves
+    assert len({packing.sketch(tokens.ids(t)) for i, t in rows if i in range(100, 106)}) == 1
+    group, parts = packing.places({0: 10, 1: 20, 2: 71, 16: 5, 17: 300}, 100)
+    assert group[0] == group[1] != group[2] and group[16] != group[17] and set(parts) == {1, 3} and parts[17] == 3
     out = packing.pack(docs, shard_tokens=8000).collect()
     assert Counter((r.doc_id is None, r.doc_id) for r in out).keys() == Counter((i is None, i) for i, _ in rows).keys()
     assert packing.pack(docs.limit(0)).count() == 0

@@ -1,10 +1,10 @@
 """Lexical retrieval packing.
 
 Documents become token ids (with an end id) once, in a table in the shared folder.  They are dealt to shards of about
-``shard_tokens`` tokens by content: alike token profiles (the signs of a few random projections) share a group, and
-within a group documents with one sketch (the smallest hash of their ``SHINGLE``-id windows) share a shard, so near
-copies meet with a chance of about their similarity.  A sketch whose documents are more than a shard is split by a hash.  A
-shard holds a BM25 inverted index over its documents, with document frequencies counted over the whole corpus (the terms
+``shard_tokens`` tokens by content: a tree of centroids (two levels of ``BRANCHES``, fitted on about ``sample`` documents)
+gives each document a leaf; a branch that fits into a shard is one, else its leaves are gathered into shards, and a leaf that is
+more than a shard is split by a sketch (the smallest hash of a document's ``SHINGLE``-id windows), so near copies meet
+with a chance of about their similarity.  A sketch whose documents are more than a shard is split by a hash.  A shard holds a BM25 inverted index over its documents, with document frequencies counted over the whole corpus (the terms
 are token ids, so these are one bounded vector) and the Robertson-Sparck Jones weight, which is 0 for ids in half of all
 documents or more.  From a seed document the index returns the unused documents that are nearest;
 they fill the seed's window greedily.  A document that does not fit is cut, and its rest is the next seed.  So every
@@ -19,6 +19,7 @@ not read.  Rows come with doc_id, start, length, ids_crc32, doc_tokens, sequence
 from __future__ import annotations
 
 import zlib
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -31,36 +32,85 @@ from vecloom.llm.text import M1, M3, mix, rows
 from vecloom.llm.tokens import END, VOCABULARY
 
 K1, B = 1.2, 0.75
-PLANES, SHINGLE = 4, 8
+BRANCHES, SHINGLE, DIM = 16, 8, 1024
 
 
-def _planes() -> np.ndarray:
-    return np.random.default_rng(11).standard_normal((VOCABULARY, PLANES)).astype(np.float32)
+#: The dimension of each token id in document vectors.
+PLACE = (mix(np.arange(VOCABULARY, dtype=np.uint64)) % np.uint64(DIM)).astype(np.int64)
+
+
+def counts(ids: np.ndarray) -> np.ndarray:
+    return np.log1p(np.bincount(PLACE[ids], minlength=DIM)).astype(np.float32)
+
+
+def unit(x: np.ndarray) -> np.ndarray:
+    return x / np.maximum(1e-9, np.sqrt((x * x).sum(axis=1, keepdims=True)))
+
+
+def centroids(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
+    """Spherical k-means of unit vectors; always ``k`` rows."""
+    rng = np.random.default_rng(0)
+    c = x[rng.choice(len(x), k, replace=len(x) < k)] if len(x) else np.zeros((k, DIM), np.float32)
+    for _ in range(rounds if len(x) else 0):
+        near = (x @ c.T).argmax(axis=1)
+        c = unit(np.array([x[near == j].sum(axis=0) if (near == j).any() else c[j] for j in range(k)], np.float32))
+    return c
+
+
+@dataclass(frozen=True)
+class Tree:
+    """Factor of each dimension, centroids of the branches, and of the leaves of each branch."""
+
+    scale: np.ndarray
+    branches: np.ndarray
+    leaves: np.ndarray
+
+    def leaf(self, found: np.ndarray) -> np.ndarray:
+        x = unit(found * self.scale)
+        branch = (x @ self.branches.T).argmax(axis=1)
+        return branch * BRANCHES + np.einsum("nd,nkd->nk", x, self.leaves[branch]).argmax(axis=1)
+
+
+def tree(docs: DataFrame, sample: int = 4000) -> Tree:
+    """Fitted on about ``sample`` documents; it says where a document is packed, not whether."""
+
+    def run(batches):
+        for (texts,) in rows(batches, "text"):
+            yield pa.RecordBatch.from_arrays([pa.array([counts(tokens.ids(t)).tobytes() for t in texts], pa.binary())], ["x"])
+
+    some = docs.select("text").sample(min(1.0, sample / max(1, docs.count())), seed=9).mapInArrow(run, "x binary").toPandas()["x"]
+    found = np.array([np.frombuffer(x, np.float32) for x in some]).reshape(-1, DIM)
+    scale = np.log((len(found) + 1) / ((found > 0).sum(axis=0) + 1)).astype(np.float32) + np.float32(1e-6)
+    x = unit(found * scale)
+    branches = centroids(x, BRANCHES)
+    near = (x @ branches.T).argmax(axis=1)
+    return Tree(scale, branches, np.array([centroids(x[near == j], BRANCHES) for j in range(BRANCHES)]))
 
 
 def sketch(ids: np.ndarray) -> int:
-    """The smallest hash of the windows of ``SHINGLE`` ids; a shorter document is one window."""
-    w = min(SHINGLE, len(ids))
-    h = np.zeros(len(ids) - w + 1, np.uint64)
-    for i in range(w):
-        h = h * M3 + ids[i : len(ids) - w + 1 + i] + M1
+    """The smallest hash of the windows of ``SHINGLE`` ids (a power of two); a shorter document is one window."""
+    h, w = ids.astype(np.uint64) + M1, 1
+    if len(ids) < SHINGLE:
+        return int(np.bitwise_xor.reduce(mix(h * M3 + np.arange(len(ids), dtype=np.uint64))).view(np.int64))
+    while w < SHINGLE:  # windows of twice the width from two neighbours
+        h = h[:-w] * M3 + h[w:]
+        h ^= h >> np.uint64(29)
+        w *= 2
     return int(mix(h).min().view(np.int64))
 
 
-def tokenised(docs: DataFrame) -> DataFrame:
-    """doc_id, n (ids with the end id), ids (little-endian 16-bit), profile, sketch."""
+def tokenised(docs: DataFrame, model: Tree) -> DataFrame:
+    """doc_id, n (ids with the end id), ids (little-endian 16-bit), leaf, sketch."""
 
     def run(batches):
-        planes = _planes()
         end = np.array([END], "<u2")
-        for doc_ids, texts in rows(batches, "doc_id", "text"):
+        for doc_ids, texts in rows(batches, "doc_id", "text", slice_rows=128):
             ids = [np.concatenate([tokens.ids(t), end]) for t in texts]
-            sums = [planes[x].sum(axis=0) if len(x) < VOCABULARY else np.bincount(x, minlength=VOCABULARY) @ planes for x in ids]
-            profile = [int((s > 0) @ (1 << np.arange(PLANES))) for s in sums]
+            leaf = model.leaf(np.array([counts(x) for x in ids]).reshape(-1, DIM))
             longs = [doc_ids, [len(x) for x in ids], [sketch(x) for x in ids]]
-            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in longs), pa.array([x.tobytes() for x in ids], pa.binary()), pa.array(profile, pa.int32())], ["doc_id", "n", "sketch", "ids", "profile"])
+            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in longs), pa.array([x.tobytes() for x in ids], pa.binary()), pa.array(leaf.astype(np.int32))], ["doc_id", "n", "sketch", "ids", "leaf"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, sketch long, ids binary, profile int")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, sketch long, ids binary, leaf int")
 
 
 def frequencies(table: DataFrame) -> tuple[np.ndarray, int, float]:
@@ -177,23 +227,38 @@ def pack_shard(docs: list[np.ndarray], idf: np.ndarray, mean: float, window: int
 OUT = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+def places(totals: dict[int, int], shard_tokens: int) -> tuple[list[int], list[int]]:
+    """For each leaf its group, and the number of shards of that group."""
+    group, parts, at = [0] * BRANCHES**2, [1] * BRANCHES**2, 0
+    for branch in range(BRANCHES):
+        leaves, held = range(branch * BRANCHES, (branch + 1) * BRANCHES), 0
+        at += 1
+        for leaf in leaves:
+            n = totals.get(leaf, 0)
+            if held and held + n > shard_tokens:
+                at, held = at + 1, 0
+            group[leaf], parts[leaf] = at, max(1, -(-n // shard_tokens))
+            held += n
+    return group, parts
+
+
 def dealt(table: DataFrame, shard_tokens: int, broadcast_rows: int = 200_000) -> DataFrame:
-    """``table`` with p, g, s, which together name a document's shard."""
-    sums = table.groupBy("profile", "sketch").agg(F.sum("n").alias("t"))
-    large = scratch.save(sums.where(F.col("t") > shard_tokens).select("profile", "sketch", F.ceil(F.col("t") / shard_tokens).alias("pieces")), "large")
+    """``table`` with g, p, s, which together name a document's shard."""
+    totals = {r["leaf"]: r["t"] for r in table.groupBy("leaf").agg(F.sum("n").alias("t")).collect()}  # at most BRANCHES**2 rows
+    group, parts = (F.element_at(F.array(*map(F.lit, x)), F.col("leaf") + 1) for x in places(totals, shard_tokens))
+    sums = table.groupBy("leaf", "sketch").agg(F.sum("n").alias("t"))
+    large = scratch.save(sums.where(F.col("t") > shard_tokens).select("leaf", "sketch", F.ceil(F.col("t") / shard_tokens).alias("pieces")), "large")
     small = large.count() <= broadcast_rows
-    parts = F.lit(1)
-    for r in table.groupBy("profile").agg(F.sum("n").alias("t")).collect():  # at most 2**PLANES rows
-        parts = F.when(F.col("profile") == r["profile"], F.lit(-(-r["t"] // shard_tokens))).otherwise(parts)
-    table = table.join(F.broadcast(large) if small else large, ["profile", "sketch"], "left")
-    part = F.when(F.col("pieces").isNull(), F.pmod(F.xxhash64("sketch"), parts)).otherwise(F.col("sketch"))
-    piece = F.when(F.col("pieces").isNull(), F.lit(-1)).otherwise(F.pmod(F.xxhash64("doc_id", "n"), F.col("pieces")))
-    return table.withColumns({"p": F.col("profile"), "g": part, "s": piece.cast("long")})
+    table = table.join(F.broadcast(large) if small else large, ["leaf", "sketch"], "left")
+    whole = F.col("pieces").isNull()
+    part = F.when(whole, F.pmod(F.xxhash64("sketch"), parts)).otherwise(F.col("sketch"))
+    piece = F.when(whole, F.lit(-1)).otherwise(F.pmod(F.xxhash64("doc_id", "n"), F.col("pieces")))
+    return table.withColumns({"g": group, "p": part.cast("long"), "s": piece.cast("long")})
 
 
 def pack(docs: DataFrame, window: int = 2048, shard_tokens: int = 2_000_000) -> DataFrame:
     """One row per piece of a document in a sequence of at most ``window`` ids."""
-    table = scratch.save(tokenised(docs), "tokens")
+    table = scratch.save(tokenised(docs, tree(docs)), "tokens")
     df, n, mean = frequencies(table)
     idf = np.maximum(0, np.log((n - df + 0.5) / (df + 0.5)))
 
@@ -221,8 +286,8 @@ def pack(docs: DataFrame, window: int = 2048, shard_tokens: int = 2_000_000) ->
         if held[0]:
             yield packed(held, base)[0]
 
-    shards = dealt(table, shard_tokens).select("p", "g", "s", "doc_id", "ids", "n", "sketch")
-    return shards.repartition("p", "g", "s").sortWithinPartitions("p", "g", "s", "doc_id", "n", "sketch").select("p", "g", "s", "doc_id", "ids").mapInArrow(run, OUT)
+    shards = dealt(table, shard_tokens).select("g", "p", "s", "doc_id", "ids", "n", "sketch")
+    return shards.repartition("g", "p", "s").sortWithinPartitions("g", "p", "s", "doc_id", "n", "sketch").select("g", "p", "s", "doc_id", "ids").mapInArrow(run, OUT)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
