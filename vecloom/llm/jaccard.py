@@ -150,14 +150,17 @@ def measured(docs: DataFrame, width: int, percent: int, often: np.ndarray, hot:
 def components(edges: DataFrame, most: int = 60) -> DataFrame:
     """id, root (smallest id of the component) of every id in ``edges`` (a, b)."""
     edges = scratch.save(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    # what is joined to the edges is dealt out once more, so both sides of the joins are plain exchanges, of which adaptive
+    # execution splits the edges of a large component's root
+    again = F.xxhash64("a")
     for _ in range(most):
         # every vertex links to its smallest neighbour, and its larger neighbours to that one
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")).repartition(again)
         large = edges.select(F.col("b").alias("v"), F.col("a").alias("u")).join(low.withColumnRenamed("a", "v"), "v").select(F.col("u").alias("a"), F.col("m").alias("b"))
         large = large.unionByName(low.where("a <> m").select("a", F.col("m").alias("b"))).where("a <> b").distinct()
         # the smaller neighbours of a vertex link to the smallest of them
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        least = large.groupBy("a").agg(F.min("b").alias("m")).repartition(again)
         small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
         new = scratch.save(small.distinct(), "edges")
         # done when no vertex is both a member and a root
