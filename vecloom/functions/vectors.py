@@ -391,15 +391,16 @@ def lookup(name: str) -> Callable[..., Column]:
 _ARRAYS = "a ARRAY<DOUBLE>, b ARRAY<DOUBLE>"
 _TOTAL = "aggregate(zip_with(a, b, (x, y) -> {}), 0D, (s, x) -> s + x)"
 _SIZE = "sqrt(aggregate({0}, 0D, (s, x) -> s + x * x))"
+_PART = "coalesce(try_divide({0}, {1}), if({1} = 0D, double('NaN'), NULL))"  # NaN on a zero divisor, NULL on NULL
 SQL_FUNCTIONS: dict[str, tuple[str, str, str]] = {
     "manhattan": (_ARRAYS, "DOUBLE", _TOTAL.format("abs(x - y)")),
     "squaredeuclidean": (_ARRAYS, "DOUBLE", _TOTAL.format("(x - y) * (x - y)")),
     "euclidean": (_ARRAYS, "DOUBLE", f"sqrt({_TOTAL.format('(x - y) * (x - y)')})"),
     "hamming": (_ARRAYS, "DOUBLE", _TOTAL.format("if(x != y, 1D, 0D)")),
     "innerproduct": (_ARRAYS, "DOUBLE", _TOTAL.format("x * y")),
-    "cosine": (_ARRAYS, "DOUBLE", f"1D - {_TOTAL.format('x * y')} / ({_SIZE.format('a')} * {_SIZE.format('b')})"),
+    "cosine": (_ARRAYS, "DOUBLE", f"1D - {_PART.format(_TOTAL.format('x * y'), _SIZE.format('a') + ' * ' + _SIZE.format('b'))}"),
     "chisquared": (_ARRAYS, "DOUBLE", _TOTAL.format("if(x + y = 0, double('NaN'), (y - x) * (y - x) / (x + y))")),
-    "hyperplane": (_ARRAYS + ", bias DOUBLE", "DOUBLE", f"({_TOTAL.format('x * y')} + bias) / {_SIZE.format('b')}"),
+    "hyperplane": (_ARRAYS + ", bias DOUBLE", "DOUBLE", _PART.format(f"{_TOTAL.format('x * y')} + bias", _SIZE.format("b"))),
     "manhattanw": (_ARRAYS + ", w ARRAY<DOUBLE>", "DOUBLE", "aggregate(zip_with(zip_with(a, b, (x, y) -> abs(x - y)), w, (x, y) -> x * y), 0D, (s, x) -> s + x)"),
     "haversine": (_ARRAYS, "DOUBLE", f"2 * {EARTH_RADIUS}D * asin(least(1D, sqrt(pow(sin((radians(a[0]) - radians(b[0])) / 2), 2) + cos(radians(a[0])) * cos(radians(b[0])) * pow(sin(radians(a[1] - b[1]) / 2), 2))))"),
     "vadd": (_ARRAYS, "ARRAY<DOUBLE>", "zip_with(a, b, (x, y) -> x + y)"),
