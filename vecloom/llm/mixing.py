@@ -95,10 +95,15 @@ def classifier(docs: DataFrame, labels: DataFrame, most: int = 4000, steps: int
 
 def shares(texts: list[str | None], model: Model) -> tuple[np.ndarray, list[int]]:
     """Posteriors and number of tokens of each text."""
-    got = [counts(t) for t in texts]
-    z = features(np.array([x for x, _ in got]).reshape(-1, DIM), model.scale) @ model.weights
+    z, sizes = np.zeros((len(texts), len(DOMAINS))) + model.weights[DIM], []
+    for k, text in enumerate(texts):  # as ``features``, for the features that the text has
+        found, n = counts(text)
+        at = np.flatnonzero(found)
+        x = found[at] * model.scale[at]
+        z[k] += x @ model.weights[at] / max(1e-12, float(np.sqrt(x @ x)))
+        sizes.append(n)
     p = np.exp(z - z.max(axis=1, keepdims=True))
-    return p / p.sum(axis=1, keepdims=True), [n for _, n in got]
+    return p / p.sum(axis=1, keepdims=True), sizes
 
 
 def posteriors(docs: DataFrame, model: Model, *carry: str) -> DataFrame:
