@@ -247,7 +247,9 @@ def test_packing_splits_a_large_group_of_copies_and_keeps_near_copies_together(s
         sizes[r.p, r.g, r.s] += r.n
     assert len({(r.p, r.g, r.s) for r in table if r.doc_id is not None and r.doc_id < 40}) > 1
     # near copies have one sketch; a branch that fits into a shard is one, a larger one is cut between leaves
-    assert len({packing.sketch(tokens.ids(t)) for i, t in rows if i in range(100, 106)}) == 1
+    ids = [np.append(tokens.ids(t), np.uint16(1)) for _, t in rows] + [np.array([1], "<u2"), np.arange(7, dtype="<u2"), np.arange(8, dtype="<u2")]
+    assert packing.sketches(ids) == [packing.sketches([x])[0] for x in ids]
+    assert len({x for x, (i, _) in zip(packing.sketches(ids), rows, strict=False) if i in range(100, 106)}) == 1
     group, parts = packing.places({0: 10, 1: 20, 2: 71, 16: 5, 17: 300}, 100)
     assert group[0] == group[1] != group[2] and group[16] != group[17] and set(parts) == {1, 3} and parts[17] == 3
     out = packing.pack(docs, shard_tokens=8000).collect()

@@ -68,7 +68,10 @@ class Tree:
     def leaf(self, found: np.ndarray) -> np.ndarray:
         x = unit(found * self.scale)
         branch = (x @ self.branches.T).argmax(axis=1)
-        return branch * BRANCHES + np.einsum("nd,nkd->nk", x, self.leaves[branch]).argmax(axis=1)
+        out = branch * BRANCHES
+        for b in np.unique(branch):
+            out[branch == b] += (x[branch == b] @ self.leaves[b].T).argmax(axis=1)
+        return out
 
 
 def tree(docs: DataFrame, sample: int = 4000) -> Tree:
@@ -87,16 +90,26 @@ def tree(docs: DataFrame, sample: int = 4000) -> Tree:
     return Tree(scale, branches, np.array([centroids(x[near == j], BRANCHES) for j in range(BRANCHES)]))
 
 
-def sketch(ids: np.ndarray) -> int:
-    """The smallest hash of the windows of ``SHINGLE`` ids (a power of two); a shorter document is one window."""
-    h, w = ids.astype(np.uint64) + M1, 1
-    if len(ids) < SHINGLE:
-        return int(np.bitwise_xor.reduce(mix(h * M3 + np.arange(len(ids), dtype=np.uint64))).view(np.int64))
+def sketches(docs: list[np.ndarray]) -> list[int]:
+    """For each document the smallest hash of its windows of ``SHINGLE`` ids (a power of two); a shorter one is one window."""
+    size = np.array([len(d) for d in docs])
+    start = np.cumsum(size) - size
+    h, w = np.concatenate(docs).astype(np.uint64) + M1, 1
+    short = [int(np.bitwise_xor.reduce(mix(h[a : a + n] * M3 + np.arange(n, dtype=np.uint64))).view(np.int64)) if n < SHINGLE else 0 for a, n in zip(start.tolist(), size.tolist(), strict=True)]
+    long = np.flatnonzero(size >= SHINGLE)
+    if not len(long):
+        return short
     while w < SHINGLE:  # windows of twice the width from two neighbours
         h = h[:-w] * M3 + h[w:]
         h ^= h >> np.uint64(29)
         w *= 2
-    return int(mix(h).min().view(np.int64))
+    # of the windows that begin at each place, those that end in the same document
+    h = np.append(mix(h), np.zeros(1, np.uint64))
+    ends = np.column_stack([start[long], start[long] + size[long] - SHINGLE + 1]).ravel()
+    least = np.minimum.reduceat(h, ends)[::2].view(np.int64)
+    for k, x in zip(long.tolist(), least.tolist(), strict=True):
+        short[k] = x
+    return short
 
 
 def tokenised(docs: DataFrame, model: Tree) -> DataFrame:
@@ -107,7 +120,7 @@ def tokenised(docs: DataFrame, model: Tree) -> DataFrame:
         for doc_ids, texts in rows(batches, "doc_id", "text", slice_rows=128):
             ids = [np.concatenate([tokens.ids(t), end]) for t in texts]
             leaf = model.leaf(np.array([counts(x) for x in ids]).reshape(-1, DIM))
-            longs = [doc_ids, [len(x) for x in ids], [sketch(x) for x in ids]]
+            longs = [doc_ids, [len(x) for x in ids], sketches(ids)]
             yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in longs), pa.array([x.tobytes() for x in ids], pa.binary()), pa.array(leaf.astype(np.int32))], ["doc_id", "n", "sketch", "ids", "leaf"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, sketch long, ids binary, leaf int")
@@ -141,22 +154,29 @@ class Index:
 
     def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean: float):
         size = np.array([len(d) for d in docs], np.int64)
-        key = np.sort(np.concatenate([d.astype(np.uint64) | (np.uint64(i) << np.uint64(16)) for i, d in enumerate(docs)]))
+        wide = np.uint32 if len(docs) < 1 << 16 else np.uint64  # numbers as short as they may be sort faster
+        key = np.sort(np.concatenate([d.astype(wide) | (wide(i) << wide(16)) for i, d in enumerate(docs)]))
         first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         tf = np.diff(np.append(first, len(key)))
-        term, doc = (key[first] & np.uint64(0xFFFF)).astype(np.int64), (key[first] >> np.uint64(16)).astype(np.int64)
+        term, doc = (key[first] & wide(0xFFFF)).astype(np.int64), (key[first] >> wide(16)).astype(np.int64)
         said = idf[term] > 0
         term, doc, tf = term[said], doc[said], tf[said]
         weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[doc] / mean))
         self.start = np.searchsorted(doc, np.arange(len(docs) + 1))
         self.term = term
-        order = np.argsort(term, kind="stable")
+        order = np.argsort(term.astype(np.uint16), kind="stable")
         self.doc, self.posted = doc[order], weight[order]
         self.at = np.searchsorted(term[order], np.arange(VOCABULARY + 1))
-        self.n = len(docs)
+        self.n, self.gone = len(docs), 0
+
+    def forget(self, used: np.ndarray) -> None:
+        """Leave the postings of used documents out from now on."""
+        alive = ~used[self.doc]
+        self.at = np.concatenate([[0], np.cumsum(alive)])[self.at]
+        self.doc, self.posted, self.gone = self.doc[alive], self.posted[alive], int(used.sum())
 
     def scores(self, seed: int) -> np.ndarray:
-        """BM25 of every document for the distinct ids of ``seed``."""
+        """BM25 of every document that is not forgotten for the distinct ids of ``seed``."""
         own = self.term[self.start[seed] : self.start[seed + 1]]
         spans = [slice(a, b) for a, b in zip(self.at[own].tolist(), self.at[own + 1].tolist(), strict=True)]
         if not spans:
@@ -165,6 +185,8 @@ class Index:
 
     def nearest(self, seed: int, used: np.ndarray, first: int = 32):
         """Unused documents, best score first (ties: earlier document), in growing portions."""
+        if 4 * (int(used.sum()) - self.gone) > self.n - self.gone:
+            self.forget(used)
         score = self.scores(seed)
         score[used] = -1
         while True:
