@@ -259,8 +259,8 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, largest: int
 
         def let_go():
             nonlocal weight
-            for (fp, span), row in held.items():
-                put(fp, span, *row)
+            for (fp, span), (off, i, th, a, _, many) in held.items():
+                put(fp, span, off, i, th, a, 0, many)  # the end follows from the span; a constant takes no room
             held.clear()
             weight = 0
 
