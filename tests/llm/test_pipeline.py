@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from test_operators import jaccard_by_force
-from vecloom.llm import lines, mixing, quality, tokens
+from vecloom.llm import mixing, quality, tokens
 
 SF = "/root/testdata/sf0.001"
 ROW = "doc_id long, text string, lang string, source string, n_chars long, cut string, n_removed string, th string, key string"
