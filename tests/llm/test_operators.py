@@ -107,6 +107,38 @@ def test_jaccard_tells_rows_of_one_id_apart(spark):
     assert got == Counter({(1, 1): 2, (2, 1): 1, (3, 1): 1, (4, 4): 2, (None, 4): 1, (None, None): 1})
 
 
+def test_jaccard_keys_of_pairs_that_just_link():
+    """Such pairs meet at any sizes, and a set has one key more than elements that may differ."""
+    rng = np.random.default_rng(1)
+    often = np.zeros(0, np.uint64)
+    for percent in (60, 80, 90):
+        for n in (1, 2, 7, 31, 64, 255, 256, 300, 641, 1000, 1025):
+            for m in {n, n * 100 // percent, (n + n * 100 // percent) // 2}:
+                both = -(-percent * (n + m) // (100 + percent))
+                x = rng.permutation(4 * n + 8).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+                a, b = np.sort(x[:n]), np.sort(np.concatenate([x[:both], x[n : n + m - both]]))
+                if both <= n:
+                    assert len(np.intersect1d(*(jaccard.keys_of(s, percent, often) for s in (a, b)))), (percent, n, m)
+    assert len(jaccard.keys_of(np.sort(x[:1000]), 80, often)) == 251
+
+
+def test_jaccard_shuffles_its_keys_once(spark, monkeypatch):
+    rng = random.Random(2)
+    docs = spark.createDataFrame([(k, words(rng, 400, 10**6), "en", "s", 7) for k in range(50)], DOCS)
+    for sampled in ("common", "hot_keys"):
+        monkeypatch.setattr(jaccard, sampled, lambda *_: np.zeros(0, np.uint64))
+    n = jaccard.measured(docs, 5, 80, np.zeros(0, np.uint64), np.zeros(0, np.uint64)).selectExpr("sum(size(keys))").first()[0]
+
+    def shuffled():
+        sc = spark.sparkContext
+        stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+        return {(s.stageId(), s.attemptId()): s.shuffleWriteRecords() for s in (stages.apply(k) for k in range(stages.size()))}
+
+    before = shuffled()
+    assert jaccard.join(docs, 5, 80).count() == 50
+    assert n <= sum(v for k, v in shuffled().items() if k not in before) < 1.5 * n
+
+
 def test_jaccard_of_nothing(spark):
     assert jaccard.join(spark.createDataFrame([], DOCS)).count() == 0
 

@@ -6,13 +6,15 @@ d <= (a + b)(1 - t) / (1 + t).  For a band of sizes this is at most D.  Each ele
 W = 2 (D + 1) words (a word is 2**32 bits wide and is kept as the XOR of its set bits' codes).  The Hamming distance of
 two such parity sketches is at most d, so at most D words differ and at least D + 2 agree: the join is an equi-join on
 (band, word number, word).  Words with few elements, or few but those that a sample of the documents shows to be
-common, agree without meaning.  So words are ordered by their rare elements, and each set leaves out its D + 1 last
-words.  Of the words that two linked sets share, the first in that order has D + 1 shared ones behind it, so both
-keep it.  A set near the lower end of its
-band is in the band below, too.
-
-Pairs that meet are linked to the first class of their bucket only, which keeps a bucket of m documents to m rows;
-buckets that a sample shows to be large are aggregated before the shuffle and never gathered.  The
+common, agree without meaning.  So words are ordered by their rare elements, and a set that differs from what links to
+it in at most d <= D elements keeps its d + 1 first words: of the words that two linked sets share, the first in that
+order has all the other shared ones behind it, and they are all but d at least, so both keep it.  A set near the lower
+end of its band is in the band below, too, where it only meets smaller ones.
+
+Pairs that meet are linked to the first row of their bucket only, which keeps a bucket of m documents to m rows;
+buckets that a sample shows to be large are aggregated before the shuffle and never gathered.  The other keys are
+shuffled once, sorted and read in a stream.  Keys go with the numbers of rows, which only the few that meet change for
+those of classes; of rows with equal sets that a task sees, the first alone has keys.  The
 components of these candidate links hold every linked pair, since documents of one bucket are in one component.  Each
 component is then verified exactly: an inverted list gives the intersections of one set with all others at once, and
 pairs already connected are skipped.  In a component of more than ``chunk`` classes every set is first compared with
@@ -38,7 +40,7 @@ from pyspark.sql import functions as F
 from vecloom.llm import scratch
 from vecloom.llm.text import WordHashes, mix, rows, shingles
 
-RATIO = 1.5
+RATIO = 2
 
 
 def sets(texts: list[str | None], hashes: WordHashes, width: int) -> list[np.ndarray]:
@@ -53,12 +55,11 @@ def band_of(n: int) -> int:
     return int(math.floor(math.log(n) / math.log(RATIO) + 1e-9))
 
 
-def words_in(band: int, percent: int) -> tuple[int, int]:
-    """(number of sketch words, how many of them are joined on) for pairs whose smaller set is in ``band``."""
+def words_in(n: int, band: int, percent: int) -> tuple[int, int]:
+    """(number of sketch words, how many of them a set of ``n`` is joined on) for pairs whose smaller set is in ``band``."""
     a = math.floor(RATIO ** (band + 1)) + 1
-    b = a * 100 // percent + 1
-    differ = (a + b) * (100 - percent) // (100 + percent)
-    return 2 * (differ + 1), differ + 1
+    differ = [(x + y) * (100 - percent) // (100 + percent) for x, y in ((a, a * 100 // percent + 1), (n, n * 100 // percent if band == band_of(n) else min(n, a)))]
+    return 2 * (differ[0] + 1), min(differ) + 1
 
 
 def sampled(docs: DataFrame, most: int) -> DataFrame:
@@ -114,7 +115,7 @@ def keys_of(items: np.ndarray, percent: int, often: np.ndarray) -> np.ndarray:
     code = mix(h)  # stands for the one bit of 2**32 that the element flips in its word
     for b in (band, band - 1):
         if b == band or b >= 0 and n * percent <= 100 * (math.floor(RATIO ** (b + 1)) + 1):
-            total, joined = words_in(b, percent)
+            total, joined = words_in(n, b, percent)
             at = ((h >> np.uint64(32)) * np.uint64(total) >> np.uint64(32)).astype(np.int64)
             word = np.zeros(total, np.uint64)
             np.bitwise_xor.at(word, at, code)
@@ -125,26 +126,58 @@ def keys_of(items: np.ndarray, percent: int, often: np.ndarray) -> np.ndarray:
     return np.concatenate(out)
 
 
-def measured(docs: DataFrame, width: int, percent: int, often: np.ndarray, hot: np.ndarray) -> DataFrame:
-    """row, doc_id, th (hash of the text), n_shingles, fp (128-bit hash of the set), hot keys and other keys of every row."""
+def measured(docs: DataFrame, width: int, percent: int, often: np.ndarray, hot: np.ndarray, most: int = 400_000) -> DataFrame:
+    """row, doc_id, th (hash of the text), n_shingles, fp (128-bit hash of the set), keyed, hot keys and other keys of every row.
+
+    Only keyed rows have keys: not those whose set the task has had (it remembers ``most``).
+    """
 
     def run(batches):
-        hashes = WordHashes()
+        hashes, had = WordHashes(), set()
+
+        def new(digest: bytes | None) -> bool:
+            if digest is None or digest in had:
+                return False
+            if len(had) >= most:
+                had.clear()
+            had.add(digest)
+            return True
+
         for numbers, ids, ths, texts in rows(batches, "row", "doc_id", "th", "text", slice_rows=256):
             found = sets(texts, hashes, width)
             fp = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in found]
-            keys = [keys_of(s, percent, often) if len(s) else np.zeros(0, np.uint64) for s in found]
+            keyed = [new(x) for x in fp]
+            keys = [keys_of(s, percent, often) if k else np.zeros(0, np.uint64) for s, k in zip(found, keyed, strict=True)]
             warm = [hot[np.minimum(np.searchsorted(hot, k), len(hot) - 1)] == k if len(hot) else np.zeros(len(k), bool) for k in keys]
             yield pa.RecordBatch.from_arrays(
                 [
-                    *(pa.array(x, pa.int64()) for x in (numbers, ids, ths, [len(s) for s in found])), pa.array(fp, pa.binary()),
+                    *(pa.array(x, pa.int64()) for x in (numbers, ids, ths, [len(s) for s in found])), pa.array(fp, pa.binary()), pa.array(keyed, pa.bool_()),
                     *(pa.array([k[w == x].view(np.int64) for k, w in zip(keys, warm, strict=True)], pa.list_(pa.int64())) for x in (True, False)),
                 ],
-                ["row", "doc_id", "th", "n_shingles", "fp", "hot", "keys"],
+                ["row", "doc_id", "th", "n_shingles", "fp", "keyed", "hot", "keys"],
             )
 
     numbered = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.xxhash64("text").alias("th"), "text")
-    return numbered.mapInArrow(run, "row long, doc_id long, th long, n_shingles long, fp binary, hot array<long>, keys array<long>")
+    return numbered.mapInArrow(run, "row long, doc_id long, th long, n_shingles long, fp binary, keyed boolean, hot array<long>, keys array<long>")
+
+
+def met(keyed: DataFrame) -> DataFrame:
+    """a, b: each row but one of those that share a key, and that one."""
+
+    def run(batches):
+        """Rows come sorted by key; the last key goes on in the next batch."""
+        last, first = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for batch in batches:
+            key, row = (np.concatenate([x, batch.column(j).to_numpy()]) for j, x in enumerate((last, first)))
+            if not len(key):
+                continue
+            starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            head = np.repeat(row[starts], np.diff(np.append(starts, len(key))))
+            last, first = key[-1:], head[-1:]
+            meets = row != head
+            yield pa.RecordBatch.from_arrays([pa.array(row[meets]), pa.array(head[meets])], ["a", "b"])
+
+    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
 
 
 def components(edges: DataFrame, most: int = 60) -> DataFrame:
@@ -216,19 +249,18 @@ def join(docs: DataFrame, width: int = 3, percent: int = 90, chunk: int = 512, b
     often = common(docs, width)
     table = scratch.save(measured(docs, width, percent, often, hot_keys(docs, width, percent, often)), "sets")
     # one row stands for the class of rows with its set; ``n`` rows have its id and text
-    same = table.where("fp IS NOT NULL").groupBy("fp", "doc_id", "th").agg(F.min("row").alias("row"), F.count(F.lit(1)).alias("n"))
-    first = same.groupBy("fp").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "th", "row", "n")).alias("x"))
-    classes = scratch.save(first.select(F.monotonically_increasing_id().alias("id"), "fp", "x.doc_id", "x.th", "x.row", "x.n"), "classes")
-    single = table.select("row", "hot", "keys").join(classes.select("row", "id"), "row")
-    # one shuffle of the keys serves both the aggregation and the join with what it leaves
-    keyed = single.select("id", F.explode("keys").alias("key")).repartition("key")
-    shared = keyed.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first <> last").select("key", "first")
-    met = keyed.join(shared.hint("shuffle_hash"), "key")
-    # the hot keys are bounded in number (``hot_keys``), so their first classes can be broadcast
-    warm = single.select("id", F.explode("hot").alias("key"))
-    met = met.unionByName(warm.join(F.broadcast(warm.groupBy("key").agg(F.min("id").alias("first"))), "key"))
-    met = met.where("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b"))
-    groups = scratch.save(components(met), "candidates")
+    same = table.where("fp IS NOT NULL").groupBy("fp", "doc_id", "th").agg(F.count(F.lit(1)).alias("n"))
+    first = same.groupBy("fp").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "th", "n")).alias("x"))
+    classes = scratch.save(first.select(F.monotonically_increasing_id().alias("id"), "fp", "x.doc_id", "x.th", "x.n"), "classes")
+    pairs = met(table.select(F.explode("keys").alias("key"), "row"))
+    # the hot keys are bounded in number (``hot_keys``), so their first rows can be broadcast
+    warm = table.select("row", F.explode("hot").alias("key"))
+    warm = warm.join(F.broadcast(warm.groupBy("key").agg(F.min("row").alias("first"))), "key").where("row <> first")
+    pairs = pairs.unionByName(warm.select(F.col("row").alias("a"), F.col("first").alias("b"))).distinct()
+    which = table.where("keyed").select("row", "fp").join(classes.select("fp", "id"), "fp")
+    for end in ("a", "b"):
+        pairs = pairs.join(which.select(F.col("row").alias(end), F.col("id").alias(f"{end}_id")), end)
+    groups = scratch.save(components(pairs.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))), "candidates")
     sizes = groups.groupBy("root").agg(F.count(F.lit(1)).alias("m"))
     placed = groups.join(sizes, "root").join(classes, "id").select("id", "root", "doc_id", "th", "n", (F.col("m") > chunk).alias("large"))
     placed = scratch.save(placed, "placed")
