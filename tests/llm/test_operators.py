@@ -240,6 +240,32 @@ def test_tokens_equal_the_measure(docs):
         assert tokens.ids(t).tolist() == (tokens.reference().encode(t, add_special_tokens=False).ids if t else [])
 
 
+def test_tokens_around_white_space():
+    """Texts with white space in rows, which need the look-ahead, and without, which take the pattern that has none."""
+    rng = random.Random(4)
+    for _ in range(1500):
+        t = "".join(rng.choice(["a", "Bc", "12", "!", "'s", "\u00e9", "\u8a9e", " ", " ", "\n", "\t", "\r\n", "\x1c", "\x85", "\u00a0", "\u3000", "\u200b"]) for _ in range(rng.randrange(1, 9)))
+        assert tokens.ids(t).tolist() == tokens.reference().encode(t, add_special_tokens=False).ids, repr(t)
+
+
+def test_tokens_of_plain_texts_spare_the_look_ahead():
+    rng = random.Random(5)
+    texts = ["\n".join(" ".join("".join(rng.choices("etaoinshr", k=rng.randrange(2, 9))) for _ in range(12)) for _ in range(40)) for _ in range(60)]
+
+    def least(f):
+        took = []
+        for _ in range(7):
+            at = time.process_time()
+            for t in texts:
+                f(t)
+            took.append(time.process_time() - at)
+        return min(took)
+
+    slow = tokens._encoder(True)
+    tokens.ids(texts[0])
+    assert least(tokens.ids) < 0.92 * least(lambda t: slow.encode_to_numpy(t, disallowed_special=()).astype("<u2"))
+
+
 def test_packing(docs):
     rows = packing.pack(docs, shard_tokens=9000).collect()
     by, whole = {}, Counter()

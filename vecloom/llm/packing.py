@@ -126,19 +126,19 @@ def tokenised(docs: DataFrame, model: Tree) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, sketch long, ids binary, leaf int")
 
 
+def holders(docs: list[np.ndarray]) -> np.ndarray:
+    """How many of these documents (at most 2**16) hold each id."""
+    key = np.sort(np.concatenate([d.astype(np.uint32) | np.uint32(j << 16) for j, d in enumerate(docs)]))
+    return np.bincount(key[np.concatenate([[True], key[1:] != key[:-1]])] & np.uint32(0xFFFF), minlength=VOCABULARY)
+
+
 def frequencies(table: DataFrame) -> tuple[np.ndarray, int, float]:
     """Documents that hold each id, the number of documents and their mean length, over the whole corpus."""
 
     def run(batches):
         df = np.zeros(VOCABULARY, np.int64)
-        for batch in batches:
-            for raw in batch.column(0).to_pylist():
-                seen = np.zeros(VOCABULARY, bool) if len(raw) > 60_000 else None
-                if seen is None:
-                    df[np.unique(np.frombuffer(raw, "<u2"))] += 1
-                else:
-                    seen[np.frombuffer(raw, "<u2")] = True
-                    df += seen
+        for (raw,) in rows(batches, "ids", slice_rows=64):
+            df += holders([np.frombuffer(x, "<u2") for x in raw])
         t = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(t.astype(np.int32)), pa.array(df[t])], ["t", "df"])
 
@@ -178,10 +178,9 @@ class Index:
     def scores(self, seed: int) -> np.ndarray:
         """BM25 of every document that is not forgotten for the distinct ids of ``seed``."""
         own = self.term[self.start[seed] : self.start[seed + 1]]
-        spans = [slice(a, b) for a, b in zip(self.at[own].tolist(), self.at[own + 1].tolist(), strict=True)]
-        if not spans:
-            return np.zeros(self.n)
-        return np.bincount(np.concatenate([self.doc[x] for x in spans]), np.concatenate([self.posted[x] for x in spans]), self.n)
+        first, n = self.at[own], self.at[own + 1] - self.at[own]
+        at = np.arange(n.sum()) + np.repeat(first - np.cumsum(n) + n, n)
+        return np.bincount(self.doc[at], self.posted[at], self.n)
 
     def nearest(self, seed: int, used: np.ndarray, first: int = 32):
         """Unused documents, best score first (ties: earlier document), in growing portions."""

@@ -3,12 +3,17 @@
 ``ids`` gives exactly what ``tokenizers`` gives for the same vocabulary without added special tokens.  Texts are encoded
 by ``tiktoken`` with the same vocabulary as ranks, which took a quarter of the CPU time of ``tokenizers`` here (3.9
 against 0.7 to 0.9 million characters a second); a text with a special token's string is left to ``tokenizers``.
+
+The pattern that cuts a text into words has one look-ahead, which makes its search slow: of several white spaces in a row,
+the last goes with the word behind.  Without such a row it changes nothing, so these texts, by far the most, are cut by the
+pattern without it.
 """
 
 from __future__ import annotations
 
 import base64
 import os
+from array import array
 from functools import cache
 
 import numpy as np
@@ -16,15 +21,19 @@ import numpy as np
 #: The id that ends each document, and the number of ids of the vocabulary (fixed values).
 END, VOCABULARY = 1, 50_257
 
+#: White space but for the two usual ones, which are looked for in pairs.
+ODD = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
+AHEAD = r"|\s+(?!\S)"
+
 
 @cache
-def _encoder():
+def _encoder(ahead: bool):
     import public_tokenizers
     import tiktoken
 
     with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN if ahead else public_tokenizers.PATTERN.replace(AHEAD, ""), mergeable_ranks=ranks, special_tokens={})
 
 
 @cache
@@ -43,4 +52,5 @@ def ids(text: str | None) -> np.ndarray:
         return np.zeros(0, "<u2")
     if "<|endoftext|>" in text:
         return np.array(reference().encode(text, add_special_tokens=False).ids, "<u2")
-    return _encoder().encode_to_numpy(text, disallowed_special=()).astype("<u2")
+    ahead = "  " in text.replace("\n", " ") or any(c in text for c in ODD)
+    return np.array(array("H", _encoder(ahead).encode_ordinary(text)), "<u2")
