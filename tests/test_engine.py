@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_point
 from vecloom import suite
+from vecloom.functions import fulltext
 from vecloom.functions import vectors as V
 from vecloom.operators import predicates as P
 from vecloom.operators.indexes import kinds
@@ -183,6 +184,28 @@ def test_analysers(catalog):
         t.drop_index(kind)
 
 
+def test_postings_are_counted_where_texts_are_read(spark, tmp_path, monkeypatch):
+    texts = [("a b a", 1), (None, 2), ("", 3), ("-- !", 4), ("b " * 300 + "ä", 5), ("a b a", 6), ("Ä İ ß 漢字 x1", 7), *((f"w{k % 7} a", 10 + k) for k in range(90))]
+    df = spark.createDataFrame(texts, "text string, id int").repartition(3)
+    plan = fulltext.postings(df, "id", "text")._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("Exchange") <= 1 and "Aggregate" not in plan and "rangepartitioning" not in plan and "Sort [term" in plan
+    words = df.select("id", fulltext.tokens(F.col("text")).alias("w"))
+    want = sorted((r.t, r.id, r.n, r["count"]) for r in words.select("id", F.size("w").alias("n"), F.explode("w").alias("t")).groupBy("t", "id", "n").count().collect())
+    for size in (1 << 21, 5):
+        monkeypatch.setattr(fulltext, "RUN", size)
+        index = kinds.build(df, "lucene", "i", "text", "id", f"file://{tmp_path}/{size}")
+        for found in (index, kinds.load(spark, f"file://{tmp_path}/{size}"), kinds.build(df, "lucene", "i", "text", "id")):
+            assert found.table.dtypes == [("term", "string"), ("id", "int"), ("len", "int"), ("tf", "bigint")]
+            rows = [tuple(r) for r in found.table.collect()]
+            assert sorted(r for r in rows if r[0][0] != "\x00") == want
+            assert sorted(r[1] for r in rows if r[0][0] == "\x00") == sorted(k for t, k in texts if t is not None)
+            assert found.model["texts"] == 96 and abs(found.model["mean"] - (3 + 0 + 0 + 301 + 3 + 5 + 180) / 96) < 1e-9
+    twice = kinds.build(df.union(df), "lucene", "i", "text", "id")
+    assert sorted(tuple(r) for r in twice.lookup(["a", "b"]).collect()) == sorted((t, k, n, 2 * tf) for t, k, n, tf in want if t in "ab")
+    empty = kinds.build(df.where("id < 0"), "lucene", "i", "text", "id")
+    assert empty.table.count() == 0 and empty.model["texts"] == 0 and empty.scores("a", "score").count() == 0
+
+
 def test_background_rebuild(catalog):
     t = catalog.entity("s.t").insert(rows(30))
     t.create_index("btree", "byx", "x")

@@ -11,8 +11,12 @@ from __future__ import annotations
 
 import functools
 import re
+from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -102,17 +106,61 @@ def scored(df: DataFrame, column: str, query: str, alias: str = "score") -> Data
     return df.where(hit).withColumn(alias, score).drop(*made)
 
 
+#: About so many words become one run of an inverted index: what a task counts at once, in some 100 MB of memory.
+RUN = 1 << 21
+
+
 def postings(df: DataFrame, key: str, column: str, analyser: str = "standard") -> DataFrame:
-    """The inverted index as a table: term, key, tf, len. Written sorted by term, a lookup reads a few row groups.
+    """The inverted index in segments, as files are written: term, keys, lens, tfs, the last three lists of one length.
 
-    The whole text of each row is one more term, kept as a hash behind a character that no token has, for look-ups by ``=``.
+    A text's words are counted where the text is read, so no posting is shuffled: each task makes a segment of its own, sorted by
+    term, in which a term has a row for each run of texts.  A look-up reads a few pages of each segment; ``unlisted`` gives a row
+    per posting.  The whole text of each row is one more term, kept as a hash behind a character that no token has, for
+    look-ups by ``=``.
     """
-    words = df.select(key, tokens(F.col(column), analyser).alias("words"), verbatim(F.col(column)).alias("whole"))
-    # the words are counted before they are exploded, so neither they nor their number are carried or computed per word
-    exploded = words.select(key, F.size("words").alias("len"), "words").select(key, "len", F.explode("words").alias("term"))
-    counted = exploded.groupBy("term", key, "len").agg(F.count(F.lit(1)).alias("tf"))
-    whole = words.where(F.col("whole").isNotNull()).select(F.col("whole").alias("term"), key, F.size("words").alias("len"), F.lit(1).cast("long").alias("tf"))
-    return counted.unionByName(whole)
+    words = df.select(F.col(key).alias("key"), tokens(F.col(column), analyser).alias("words"), verbatim(F.col(column)).alias("whole"))
+
+    def run(batches):
+        held, size = [], 0
+        for batch in batches:
+            many = len(batch.column(1).flatten())
+            if held and size + many > RUN:
+                yield from _counted(held)
+                held, size = [], 0
+            held.append(batch)
+            size += many
+        yield from _counted(held)
+
+    kind = words.schema["key"].dataType.simpleString()
+    return words.mapInArrow(run, f"term string, keys array<{kind}>, lens array<int>, tfs array<int>").sortWithinPartitions("term")
+
+
+def _counted(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The postings of some texts: one row per term, then one per text for the term that stands for it."""
+    if not batches:
+        return
+    key, words, whole = (c.combine_chunks() for c in pa.Table.from_batches(batches).columns)
+    key, words, whole = (c if isinstance(c, pa.Array) else pa.concat_arrays(c.chunks) for c in (key, words, whole))
+    lens = pc.fill_null(pc.list_value_length(words), 0).cast(pa.int32())
+
+    def made(terms, starts, row, tf):
+        at = pa.array(row)
+        lists = [pa.ListArray.from_arrays(pa.array(starts, pa.int32()), x) for x in (key.take(at), lens.take(at), pa.array(tf, pa.int32()))]
+        return pa.RecordBatch.from_arrays([terms, *lists], ["term", "keys", "lens", "tfs"])
+
+    coded = words.flatten().dictionary_encode()
+    terms, code = coded.dictionary, np.asarray(coded.indices, np.int64)
+    pair, tf = np.unique(code * len(key) + np.asarray(pc.list_parent_indices(words), np.int64), return_counts=True)
+    code, row = np.divmod(pair, len(key))
+    yield made(terms, np.searchsorted(code, np.arange(len(terms) + 1)), row, tf)
+    row = np.flatnonzero(np.asarray(whole.is_valid()))
+    yield made(whole.take(pa.array(row)), np.arange(len(row) + 1), row, np.ones(len(row)))
+
+
+def unlisted(segments: DataFrame, key: str) -> DataFrame:
+    """term, key, len, tf: a row per posting. A condition on the term reaches the scan."""
+    one = segments.select("term", F.explode(F.arrays_zip("keys", "lens", "tfs")).alias("one"))
+    return one.select("term", F.col("one.keys").alias(key), F.col("one.lens").alias("len"), F.col("one.tfs").cast("long").alias("tf"))
 
 
 def verbatim(text: Column) -> Column:
@@ -120,9 +168,9 @@ def verbatim(text: Column) -> Column:
     return F.when(text.isNotNull(), F.concat(F.lit("\x00"), F.hex(F.xxhash64(text))))
 
 
-def totals(df: DataFrame, column: str, analyser: str = "standard") -> dict[str, Any]:
-    """Number of texts and their mean length."""
-    row = df.agg(F.count(column), F.avg(F.size(tokens(F.col(column), analyser)))).first()
+def totals(postings: DataFrame) -> dict[str, Any]:
+    """Number of texts and their mean length, from the terms that stand for whole texts."""
+    row = postings.where(F.col("term").startswith("\x00")).agg(F.count(F.lit(1)), F.avg("len")).first()
     return {"texts": row[0], "mean": float(row[1] or 1)}
 
 

@@ -3,7 +3,7 @@
 ``build`` makes an index's side table with one Spark job over all rows and, given a path, stores table and model there, from
 where ``load`` takes them again.  The side tables of vectors hold a row key and a code; the vectors of the few rows that
 the codes leave are fetched by key (late materialisation).  Those of ``btree`` hold the rows in the order of the column, so a
-look-up reads the row groups of its range alone; those of ``lucene`` hold postings in the order of the term.
+look-up reads the row groups of its range alone; those of ``lucene`` hold postings in segments, each in the order of the term.
 
 Models (marks, code books, hyperplanes) are small driver-side arrays, fitted on a bounded sample where they are learned.
 Exact kinds never lose an answer.  ``reads`` is the share of the vectors that a query for ten neighbours has to read,
@@ -74,7 +74,10 @@ class Index:
 
     def lookup(self, values: list) -> DataFrame:
         """The side table's rows for the given keys or terms."""
-        return self.table.where(F.col("term" if self.kind == "lucene" else self.column).isin(*values))
+        found = self.table.where(F.col("term" if self.kind == "lucene" else self.column).isin(*values))
+        if self.kind == "lucene" and not self.model.get("unique"):  # texts of one key count as one
+            found = found.groupBy("term", self.key).agg(F.max("len").alias("len"), F.sum("tf").alias("tf"))
+        return found
 
     def between(self, low: Any, high: Any) -> DataFrame:
         return self.table.where(F.col(self.column).between(*sorted((low, high))))
@@ -254,8 +257,8 @@ def build(df: DataFrame, kind: str, name: str, column: str, key: str = "_tid", p
         return stored(Index(kind, name, column, key, df.orderBy(column)), path)
     if kind == "lucene":
         analyser = params.get("analyzer_type", "standard").lower()
-        table = fulltext.postings(df, key, column, analyser).orderBy("term", key)
-        return stored(Index(kind, name, column, key, table, fulltext.totals(df, column, analyser) | {"analyser": analyser}), path)
+        unique = not df.groupBy(key).count().where("count > 1").limit(1).count()
+        return stored(Index(kind, name, column, key, fulltext.postings(df, key, column, analyser), {"analyser": analyser, "unique": unique}), path)
     usable = df.where(F.col(column).isNotNull())
     dim = usable.agg(F.max(F.size(column))).first()[0] or 0
     usable = usable.where(F.size(column) == dim)
@@ -317,20 +320,29 @@ def _unpacked(x: Any) -> Any:
 
 def stored(index: Index, path: str | None) -> Index:
     """The index with its side table and model written to ``path``; the model last, so a half-written index is none."""
+    spark, schema = index.table.sparkSession, index.table.schema
+    if path is not None:
+        index.table.write.parquet(f"{path}/table")
+        index.table = spark.read.schema(schema).parquet(f"{path}/table")
+    index.table = opened(index.kind, index.table, index.key)
+    if index.kind == "lucene":
+        index.model |= fulltext.totals(index.table)
     if path is None:
         return index
-    index.table.write.parquet(f"{path}/table")
-    told = {"kind": index.kind, "name": index.name, "column": index.column, "key": index.key, "exact": index.exact, "reads": index.reads, "schema": index.table.schema.jsonValue(), "model": {k: _packed(v) for k, v in index.model.items()}}
-    spark = index.table.sparkSession
+    told = {"kind": index.kind, "name": index.name, "column": index.column, "key": index.key, "exact": index.exact, "reads": index.reads, "schema": schema.jsonValue(), "model": {k: _packed(v) for k, v in index.model.items()}}
     spark.createDataFrame([(json.dumps(told),)], "value string").coalesce(1).write.text(f"{path}/model")
-    index.table = spark.read.schema(index.table.schema).parquet(f"{path}/table")
     return index
 
 
+def opened(kind: str, table: DataFrame, key: str) -> DataFrame:
+    """The side table as look-ups read it; an index of texts that an earlier version has stored has its postings as rows."""
+    return fulltext.unlisted(table, key) if kind == "lucene" and "keys" in table.columns else table
+
+
 def load(spark: SparkSession, path: str) -> Index:
     told = json.loads(spark.read.text(f"{path}/model", wholetext=True).first()[0])
     table = spark.read.schema(T.StructType.fromJson(told["schema"])).parquet(f"{path}/table")
-    return Index(told["kind"], told["name"], told["column"], told["key"], table, {k: _unpacked(v) for k, v in told["model"].items()}, told["exact"], told["reads"])
+    return Index(told["kind"], told["name"], told["column"], told["key"], opened(told["kind"], table, told["key"]), {k: _unpacked(v) for k, v in told["model"].items()}, told["exact"], told["reads"])
 
 
 def enn(df: DataFrame, column: str, query: list[float], function: str, radius: float) -> DataFrame:
