@@ -206,6 +206,18 @@ def test_postings_are_counted_where_texts_are_read(spark, tmp_path, monkeypatch)
     assert empty.table.count() == 0 and empty.model["texts"] == 0 and empty.scores("a", "score").count() == 0
 
 
+def test_a_match_that_postings_decide_reads_no_text(spark, tmp_path):
+    df = spark.createDataFrame([("that is", 1, 1), ("that when", 2, 2), (None, 3, 3), ("berlin", 4, 4), ("that", 5, 4), ("", 6, 0)], "text string, id int, x int")
+    df.write.parquet(f"{tmp_path}/t")
+    for key, read in (("id", False), ("x", True)):  # x: two rows of one key, of which one matches
+        df = spark.read.parquet(f"{tmp_path}/t")
+        q = Query(suite._Indexed(df, kinds.build(df, "lucene", "i", "text", key, f"file://{tmp_path}/{key}")))
+        for query, also, want in (("that -when", F.lit(True), [1, 5]), ("that ber* -when", F.col("id") < 5, [1, 4]), ("-when", F.lit(True), []), ("+that +when", F.lit(True), [2])):
+            one = q.where(P.match("text", query) & P.of(also)).select("id")
+            assert sorted(r.id for r in one.frame().collect()) == want == sorted(r.id for r in one.hint(use_index=False).frame().collect())
+            assert ("text:string" in one.frame()._jdf.queryExecution().executedPlan().toString()) == read or not want
+
+
 def test_background_rebuild(catalog):
     t = catalog.entity("s.t").insert(rows(30))
     t.create_index("btree", "byx", "x")

@@ -58,8 +58,12 @@ class Index:
             return False  # MATCH and LIKE mean standard words
         return p.name == self.column and p.op in ANSWERS.get(self.kind, ()) and all(v is not None for v in p.values)
 
+    def decides(self, p: Predicate) -> bool:
+        """Does the predicate hold for all of ``rows``? Postings tell it by the key, so not where rows share one."""
+        return self.kind == "lucene" and p.op == "match" and bool(self.model.get("unique"))
+
     def rows(self, p: Predicate, df: DataFrame) -> DataFrame:
-        """The rows of ``df`` that the predicate may hold for; the planner applies the predicate to them again."""
+        """The rows of ``df`` that the predicate may hold for; the planner applies the predicate to them again, unless it ``decides``."""
         if self.kind != "lucene":
             return self.table.where(p.column())
         if p.op == "match":
