@@ -206,6 +206,21 @@ def test_postings_are_counted_where_texts_are_read(spark, tmp_path, monkeypatch)
     assert empty.table.count() == 0 and empty.model["texts"] == 0 and empty.scores("a", "score").count() == 0
 
 
+@pytest.mark.parametrize("name", ["index_lucene_postings", "fulltext_index_not", "filter_match_index", "index_lucene_equals"])
+def test_queries_on_many_runs_equal_duckdb(spark, monkeypatch, name):
+    """Terms have rows in many runs of a segment."""
+    monkeypatch.setattr(fulltext, "RUN", 1000)
+    monkeypatch.setattr(suite, "_stored", {})
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        test_suite_equals_duckdb(spark, name)
+        (index,) = suite._stored.values()
+        assert index.model["unique"] and index.table.inputFiles()
+        assert spark.read.parquet(*index.table.inputFiles()).groupBy("term").count().where("count > 5").count()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_a_match_that_postings_decide_reads_no_text(spark, tmp_path):
     df = spark.createDataFrame([("that is", 1, 1), ("that when", 2, 2), (None, 3, 3), ("berlin", 4, 4), ("that", 5, 4), ("", 6, 0)], "text string, id int, x int")
     df.write.parquet(f"{tmp_path}/t")
